@@ -47,23 +47,24 @@ def balanced(run: list[str], most: int = CALL_BYTES) -> Iterator[tuple[list[str]
             yield run[lo:hi], sizes[lo:hi]
 
 
-class Pieces:
-    """Token ids of the pieces that a worker has met, each encoded once while it is remembered.
+class Memory:
+    """Token ids of the pieces of texts that a worker has met, each encoded once while it is remembered.
 
-    Unseen pieces that begin with a space are encoded as one long text a run, and cut again where the bytes of their
-    tokens have come to the bytes of the piece. A run whose tokens don't add up so is encoded piece by piece.
+    Subclasses say where texts are cut and encode what is unseen. Texts that match `irregular` are cut by `cut`, all
+    others before every space.
     """
 
-    def __init__(self, path: str, limit: int = REMEMBERED):
-        self.made, self.limit = tokenizer(path), limit
-        vocabulary = self.made.get_vocab(with_added_tokens=False)
-        self.n_bytes = np.zeros(max([*vocabulary.values(), *self.made.get_added_tokens_decoder()], default=0) + 1, np.int64)
-        for token, i in vocabulary.items():  # byte level: one character for each byte
-            self.n_bytes[i] = len(token)
-        for i, token in self.made.get_added_tokens_decoder().items():
-            self.n_bytes[i] = len(token.content.encode())
+    irregular = IRREGULAR
+    #: The first piece of a text has a space before it, too.
+    prefix = False
+
+    def __init__(self, limit: int = REMEMBERED):
+        self.limit = limit
         self._anew()
 
+    def cut(self, text: str) -> list[str]:
+        return SAFE.split(text)
+
     def _anew(self) -> None:
         self.index: dict[str, int] = {}
         self.n, self.ids = 0, np.zeros(1 << 16, np.uint32)
@@ -92,23 +93,6 @@ class Pieces:
         self.index.update(zip(run, range(self.n, self.n + len(run)), strict=True))
         self.n += len(run)
 
-    def _learn(self, joined: list[str], apart: list[str]) -> None:
-        for run, sizes in balanced(joined):
-            ids = np.array(self.made.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
-            wanted = np.concatenate([[0], np.cumsum(sizes)])
-            cut = np.searchsorted(ends, wanted)
-            if ends[-1] == wanted[-1] and np.array_equal(ends[cut], wanted):
-                self._add(run, ids, np.diff(cut))
-            else:
-                self._each(run)
-        for run, _ in balanced(apart):
-            self._each(run)
-
-    def _each(self, run: list[str]) -> None:
-        ids = [x.ids for x in self.made.encode_batch_fast(run, add_special_tokens=False)]
-        self._add(run, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
-
     def _known(self, spaced: list[str], others: list[str]) -> np.ndarray:
         """The index of each piece; what is unseen is learned first. spaced: distinct, a space and then none."""
         index = self.index
@@ -126,15 +110,15 @@ class Pieces:
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all pieces of the texts: where their ids start in self.ids, how many, and the first piece of each text, with the total last."""
         column = pc.fill_null(column, "")
-        odd = np.asarray(pc.match_substring_regex(column, IRREGULAR))
+        odd = np.asarray(pc.match_substring_regex(column, self.irregular))
         plain = column.filter(pa.array(~odd)) if odd.any() else column
         words = pc.split_pattern(plain, " ")
         counts = np.asarray(pc.list_value_length(words), np.int64)
         coded = pc.list_flatten(words).dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         word = np.asarray(coded.indices, np.int64)
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        odd_pieces = [SAFE.split(x) for x in column.filter(pa.array(odd)).to_pylist()] if odd.any() else []
+        first = (np.cumsum(counts) - counts)[counts > 0] if not self.prefix else np.zeros(0, np.int64)
+        odd_pieces = [self.cut(x) for x in column.filter(pa.array(odd)).to_pylist()] if odd.any() else []
         first_pieces = coded.dictionary.take(pa.array(word[first])).to_pylist()
         spaced = [" " + x for x in coded.dictionary.to_pylist()]
         known = self._known(spaced, [*first_pieces, *(x for text in odd_pieces for x in text)])
@@ -148,6 +132,41 @@ class Pieces:
         return self.starts[at], self.starts[at + 1] - self.starts[at], np.concatenate([[0], np.cumsum(counts)])
 
 
+class Pieces(Memory):
+    """Pieces of byte-level BPE, encoded by the tokenizers library.
+
+    Unseen pieces that begin with a space are encoded as one long text a run, and cut again where the bytes of their
+    tokens have come to the bytes of the piece. A run whose tokens don't add up so is encoded piece by piece.
+    """
+
+    def __init__(self, path: str, limit: int = REMEMBERED):
+        super().__init__(limit)
+        self.made = tokenizer(path)
+        vocabulary = self.made.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max([*vocabulary.values(), *self.made.get_added_tokens_decoder()], default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte level: one character for each byte
+            self.n_bytes[i] = len(token)
+        for i, token in self.made.get_added_tokens_decoder().items():
+            self.n_bytes[i] = len(token.content.encode())
+
+    def _learn(self, joined: list[str], apart: list[str]) -> None:
+        for run, sizes in balanced(joined):
+            ids = np.array(self.made.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+            wanted = np.concatenate([[0], np.cumsum(sizes)])
+            cut = np.searchsorted(ends, wanted)
+            if ends[-1] == wanted[-1] and np.array_equal(ends[cut], wanted):
+                self._add(run, ids, np.diff(cut))
+            else:
+                self._each(run)
+        for run, _ in balanced(apart):
+            self._each(run)
+
+    def _each(self, run: list[str]) -> None:
+        ids = [x.ids for x in self.made.encode_batch_fast(run, add_special_tokens=False)]
+        self._add(run, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+
 def piece_memory(path: str) -> Pieces:
     if (key := f"pieces {path}") not in _loaded:
         _loaded[key] = Pieces(path)
