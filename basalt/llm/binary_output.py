@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.common import slices
-from basalt.llm.token_counts import piece_memory, sums
+from basalt.llm.token_counts import gathered, piece_memory, sums
 
 BLOCK = 256
 MAGIC = b"S8B1"
@@ -136,7 +136,7 @@ def decode(body: bytes, first: int = 0, blocks: int | None = None) -> np.ndarray
     return out[kept]
 
 
-def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, part_bytes: int = 4 << 20) -> None:
+def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, part_bytes: int = 6 << 20) -> None:
     """Encodes each whole text, appends end_id, and writes the ids of all documents in ascending doc_id order at path.
 
     Null and empty texts are their end id alone. A null doc_id sorts first; repeated doc_ids are each written, in the
@@ -152,11 +152,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             for lo, hi in slices(batch.column("text"), part_bytes):
                 starts, lengths, bounds = seen.of(batch.column("text").slice(lo, hi - lo))
                 n_tokens = sums(lengths, bounds) + 1
-                ids = np.full(n_tokens.sum(), end_id, np.uint32)
-                text = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                to = np.concatenate([[0], np.cumsum(lengths)[:-1]]) + text if len(lengths) else np.zeros(0, np.int64)
-                within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                ids[np.repeat(to, lengths) + within] = seen.ids[np.repeat(starts, lengths) + within]
+                ids = np.insert(gathered(seen.ids, starts, lengths), np.cumsum(n_tokens - 1), end_id)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "doc_ids": [batch.column("doc_id").slice(lo, hi - lo).to_pylist()], "lengths": [n_tokens], "body": [encode(ids)]})
                 part += 1
 

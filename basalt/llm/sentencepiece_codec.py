@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import slices
-from basalt.llm.token_counts import Memory, _loaded, sums
+from basalt.llm.token_counts import Memory, _loaded, balanced, gathered, sums
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -123,13 +123,14 @@ class Codec(Memory):
     def cut(self, text: str) -> list[str]:
         return re.split(r"(?<=[^ ])(?= )", " " + text.replace(SPACE, " ")) if text else []
 
-    def _learn(self, joined: list[str], apart: list[str]) -> None:
-        run = joined + apart
-        sizes = np.cumsum([len(x) + 1 for x in run])
-        cuts = np.flatnonzero(np.diff(sizes // (1 << 20))) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(run)], strict=True):
-            if hi > lo:
-                self._add(run[lo:hi], *self.encode_words([x.encode() for x in run[lo:hi]]))
+    def _learn(self, words: list[str]) -> None:
+        self._each(self.index, words, [" " + x for x in words])
+
+    def _each(self, to: dict[str, int], names: list[str], run: list[str]) -> None:
+        at = 0
+        for part, _ in balanced(run):
+            self._add(to, names[at : at + len(part)], *self.encode_words([x.encode() for x in part]))
+            at += len(part)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word in a row, and how many each has."""
@@ -310,8 +311,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", part_bytes: int = 4
         for batch in batches:
             for lo, hi in slices(batch.column(text), part_bytes):
                 starts, lengths, bounds = made.of(batch.column(text).slice(lo, hi - lo))
-                within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                ids = made.ids[np.repeat(starts, lengths) + within].astype(np.int32)
+                ids = gathered(made.ids, starts, lengths).astype(np.int32)
                 n_tokens = sums(lengths, bounds)
                 ends = np.concatenate([[0], np.cumsum(n_tokens)])
                 view = memoryview(ids.astype("<u4").tobytes())

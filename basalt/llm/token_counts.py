@@ -66,7 +66,9 @@ class Memory:
         return SAFE.split(text)
 
     def _anew(self) -> None:
+        #: Of words behind a space, without it, and of other pieces.
         self.index: dict[str, int] = {}
+        self.apart: dict[str, int] = {}
         self.n, self.ids = 0, np.zeros(1 << 16, np.uint32)
         self.starts, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint8)
 
@@ -79,9 +81,9 @@ class Memory:
             at = np.array([i for _, i in kept])
             lengths = old[1][at + 1] - old[1][at]
             ids = old[0][np.repeat(old[1][at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-            self._add([x for x, _ in kept], ids, lengths)
+            self._add(self.index, [x for x, _ in kept], ids, lengths)
 
-    def _add(self, run: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, to: dict[str, int], run: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         at = self.starts[self.n]
         if at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[:at], np.zeros(max(at + 2 * len(ids), 1 << 16), np.uint32)])
@@ -90,22 +92,30 @@ class Memory:
             self.starts, self.met = np.concatenate([self.starts[: self.n + 1], np.zeros(more, np.int64)]), np.concatenate([self.met[: self.n + 1], np.zeros(more, np.uint8)])
         self.ids[at : at + len(ids)] = ids
         self.starts[self.n + 1 : self.n + 1 + len(run)] = at + np.cumsum(lengths)
-        self.index.update(zip(run, range(self.n, self.n + len(run)), strict=True))
+        to.update(zip(run, range(self.n, self.n + len(run)), strict=True))
         self.n += len(run)
 
-    def _known(self, spaced: list[str], others: list[str]) -> np.ndarray:
-        """The index of each piece; what is unseen is learned first. spaced: distinct, a space and then none."""
-        index = self.index
-        unseen, odd = [x for x in spaced if x not in index], [*{x for x in others if x not in index}]
-        if self.n + len(unseen) + len(odd) > self.limit:
+    def _known(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The index of each of `words`, distinct, behind a space, and of each of the other pieces; what is unseen is learned first."""
+        found = self.index.get
+        at = np.array([found(x, -1) for x in words], np.int64)
+        new, apart = np.flatnonzero(at < 0), {x for x in others if x not in self.apart}
+        if self.n + len(new) + len(apart) > self.limit:
             self._forget()
-            index = self.index
-            unseen, odd = [x for x in spaced if x not in index], [*{x for x in others if x not in index}]
-        self._learn([x for x in unseen if x != " "], [*odd, *(x for x in unseen if x == " " and x not in odd)])
-        at = np.fromiter(map(index.__getitem__, [*spaced, *others]), np.int64, len(spaced) + len(others))
-        once = at[: len(spaced)]
-        self.met[once] = np.minimum(self.met[once], 254) + 1
-        return at
+            found = self.index.get
+            at = np.array([found(x, -1) for x in words], np.int64)
+            new, apart = np.flatnonzero(at < 0), {*others}
+        if len(new):
+            # a lone space isn't laid beside others
+            self._learn([words[i] for i in new if words[i]])
+            if "" not in self.index and any(not words[i] for i in new):
+                self._each(self.index, [""], [" "])
+            found = self.index.get
+            at[new] = [found(words[i]) for i in new]
+        if apart:
+            self._each(self.apart, [*apart], [*apart])
+        self.met[at] = np.minimum(self.met[at], 254) + 1
+        return at, np.fromiter(map(self.apart.__getitem__, others), np.int64, len(others))
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all pieces of the texts: where their ids start in self.ids, how many, and the first piece of each text, with the total last."""
@@ -120,13 +130,12 @@ class Memory:
         first = (np.cumsum(counts) - counts)[counts > 0] if not self.prefix else np.zeros(0, np.int64)
         odd_pieces = [self.cut(x) for x in column.filter(pa.array(odd)).to_pylist()] if odd.any() else []
         first_pieces = coded.dictionary.take(pa.array(word[first])).to_pylist()
-        spaced = [" " + x for x in coded.dictionary.to_pylist()]
-        known = self._known(spaced, [*first_pieces, *(x for text in odd_pieces for x in text)])
+        known, others = self._known(coded.dictionary.to_pylist(), [*first_pieces, *(x for text in odd_pieces for x in text)])
         at = known[word]
-        at[first] = known[len(spaced) : len(spaced) + len(first)]
+        at[first] = others[: len(first)]
         if odd_pieces:
             n_odd = np.array([*map(len, odd_pieces)])
-            at = np.concatenate([at, known[len(spaced) + len(first) :]])
+            at = np.concatenate([at, others[len(first) :]])
             row = np.concatenate([np.repeat(np.flatnonzero(~odd), counts), np.repeat(np.flatnonzero(odd), n_odd)])
             at, counts = at[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(column))
         return self.starts[at], self.starts[at + 1] - self.starts[at], np.concatenate([[0], np.cumsum(counts)])
@@ -135,7 +144,7 @@ class Memory:
 class Pieces(Memory):
     """Pieces of byte-level BPE, encoded by the tokenizers library.
 
-    Unseen pieces that begin with a space are encoded as one long text a run, and cut again where the bytes of their
+    Unseen words behind a space are encoded as one long text a run, and cut again where the bytes of their
     tokens have come to the bytes of the piece. A run whose tokens don't add up so is encoded piece by piece.
     """
 
@@ -149,22 +158,23 @@ class Pieces(Memory):
         for i, token in self.made.get_added_tokens_decoder().items():
             self.n_bytes[i] = len(token.content.encode())
 
-    def _learn(self, joined: list[str], apart: list[str]) -> None:
-        for run, sizes in balanced(joined):
-            ids = np.array(self.made.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn(self, words: list[str]) -> None:
+        for run, sizes in balanced(words):
+            ids = np.array(self.made.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
-            wanted = np.concatenate([[0], np.cumsum(sizes)])
+            wanted = np.concatenate([[0], np.cumsum(sizes + 1)])
             cut = np.searchsorted(ends, wanted)
             if ends[-1] == wanted[-1] and np.array_equal(ends[cut], wanted):
-                self._add(run, ids, np.diff(cut))
+                self._add(self.index, run, ids, np.diff(cut))
             else:
-                self._each(run)
-        for run, _ in balanced(apart):
-            self._each(run)
+                self._each(self.index, run, [" " + x for x in run])
 
-    def _each(self, run: list[str]) -> None:
-        ids = [x.ids for x in self.made.encode_batch_fast(run, add_special_tokens=False)]
-        self._add(run, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+    def _each(self, to: dict[str, int], names: list[str], run: list[str]) -> None:
+        at = 0
+        for part, _ in balanced(run):
+            ids = [x.ids for x in self.made.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(to, names[at : at + len(part)], np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+            at += len(part)
 
 
 def piece_memory(path: str) -> Pieces:
@@ -173,6 +183,19 @@ def piece_memory(path: str) -> Pieces:
     return _loaded[key]
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of all runs in a row."""
+    if not lengths.all():
+        starts, lengths = starts[lengths > 0], lengths[lengths > 0]
+    if not len(starts):
+        return values[:0]
+    ends = np.cumsum(lengths)
+    steps = np.ones(ends[-1], np.int32)
+    steps[0] = starts[0]
+    steps[ends[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
+    return values[np.cumsum(steps, out=steps)]
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
