@@ -7,10 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import binary_output, token_counts
+from basalt.llm import binary_output, jaccard_join, sentencepiece_codec, token_counts
 from basalt.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def piece_model() -> bytes:
+    with open(public_tokenizers.path(PIECE_BPE), "rb") as f:
+        return f.read()
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model())
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,10 @@ def op6_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_files(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op6_binary_output)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_token_counts, op6_binary_output, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
