@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import binary_output, decontamination, jaccard_join, license_scan, quality_classifier, sentencepiece_codec, token_counts, url_filters
+from basalt.llm import binary_output, decontamination, jaccard_join, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filters
 from basalt.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,7 +21,11 @@ def piece_model() -> bytes:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model())
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), ids=False, check=True).drop("text")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +55,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(documents, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_token_counts, op4_url_filters, op5_decontamination, op6_binary_output, op7_license_scan, op8_quality_classifier, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_url_filters, op5_decontamination, op6_binary_output, op7_license_scan, op8_quality_classifier, op9_line_dedup, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basalt.llm.common import slices
 from basalt.llm.token_counts import Memory, _loaded, balanced, gathered, sums
@@ -28,7 +27,9 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Ends a word in the text of a batch; no UTF-8 text has it.
 END = 0xFF
 #: Slots of the memory of piece pairs.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
+#: Words that a worker remembers, and bytes of words in one suffix array; a worker's memory is some 300 bytes for each.
+REMEMBERED, ARRAY_BYTES = 3 << 17, 1 << 18
 
 
 @dataclass
@@ -104,7 +105,7 @@ class Codec(Memory):
     prefix = True
 
     def __init__(self, model: Model):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.model = model
         self.size = len(model.surfaces)  # with the unknown one
         long = max(map(len, model.surfaces))
@@ -128,7 +129,7 @@ class Codec(Memory):
 
     def _each(self, to: dict[str, int], names: list[str], run: list[str]) -> None:
         at = 0
-        for part, _ in balanced(run):
+        for part, _ in balanced(run, ARRAY_BYTES):
             self._add(to, names[at : at + len(part)], *self.encode_words([x.encode() for x in part]))
             at += len(part)
 
@@ -297,27 +298,35 @@ def codec(model: bytes) -> Codec:
     return _loaded[key]
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: bool = True, check: bool = False, part_bytes: int = 2 << 20) -> DataFrame:
     """df with ids (array<int>, as the sentencepiece library encodes each whole text), n_tokens (long) and ids_crc32 (long: of the ids as little-endian unsigned 32-bit integers).
 
-    Null and empty texts have no ids (0, crc 0). Characters that the model doesn't know become their bytes' pieces.
-    Repeated rows are encoded each, an empty table stays empty. Columns named like the new ones are replaced.
+    ids=False leaves the ids out; check=True adds round_trip: whether decoding them gives the text back (U+2581 comes
+    back as a space). Null and empty texts have no ids (0, crc 0, true). Characters that the model doesn't know become
+    their bytes' pieces. Repeated rows are encoded each, an empty table stays empty. Columns named like the new ones
+    are replaced.
     """
-    new = {"ids": "array<int>", "n_tokens": "long", "ids_crc32": "long"}
+    new = ({"ids": "array<int>"} if ids else {}) | {"n_tokens": "long", "ids_crc32": "long"} | ({"round_trip": "boolean"} if check else {})
     keep = [c for c in df.columns if c not in new]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model)
         for batch in batches:
             for lo, hi in slices(batch.column(text), part_bytes):
-                starts, lengths, bounds = made.of(batch.column(text).slice(lo, hi - lo))
-                ids = gathered(made.ids, starts, lengths).astype(np.int32)
+                part = batch.slice(lo, hi - lo)
+                starts, lengths, bounds = made.of(part.column(text))
+                found = gathered(made.ids, starts, lengths)
                 n_tokens = sums(lengths, bounds)
                 ends = np.concatenate([[0], np.cumsum(n_tokens)])
-                view = memoryview(ids.astype("<u4").tobytes())
+                view = memoryview(found.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(n_tokens), pa.array(crc, pa.int64())], names=[*keep, *new])
+                columns = [part.column(c) for c in keep]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int32))))
+                columns += [pa.array(n_tokens), pa.array(crc, pa.int64())]
+                if check:
+                    columns.append(pa.array([a == (b or "").replace(SPACE, " ") for a, b in zip(made.decode(found, ends), part.column(text).to_pylist(), strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {t}" for c, t in new.items())])
     return df.select(*(f"`{c}`" for c in keep)).mapInArrow(encoded, schema)
@@ -340,10 +349,3 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{to}` string"])
     return df.mapInArrow(decoded, schema)
-
-
-def round_trip(df: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and whether decoding gives the text back (a null text counts as empty; U+2581 comes back as a space)."""
-    known = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    both = decode(encode(df.select("doc_id", known), model), model)
-    return both.select("doc_id", "n_tokens", "ids_crc32", (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"))
