@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds; memory per pass is about 60 times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -34,6 +34,32 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Words of 64 bits of the filter that is broadcast to tell which rows may join: about 2 MB, however many ids there are.
+FILTER_WORDS = 1 << 17
+
+
+def marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df with may_join_: whether its key has its bit in a bitmap of fixed size of the ids' hashes. A full bitmap only says yes more often."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)).alias("slot_")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int"))
+    bitmap = ids.where(F.col(key).isNotNull()).groupBy(at(F.col(key))).agg(F.bit_or(bit(F.col(key))).alias("bits_"))
+    joined = df.withColumn("slot_", at(F.col(key))).join(F.broadcast(bitmap), "slot_", "left")
+    hit = F.coalesce(F.col("bits_").bitwiseAND(bit(F.col(key))) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return joined.withColumn("may_join_", hit).drop("slot_", "bits_")
+
+
+def joinable(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key may be among ids, so that a join needn't shuffle the others."""
+    return marked(df, ids, key).where("may_join_").drop("may_join_")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is not among ids: an anti join that only shuffles rows whose key may be."""
+    flagged = marked(df, ids, key)
+    rest = flagged.where("not may_join_").drop("may_join_")
+    return rest.unionByName(flagged.where("may_join_").drop("may_join_").join(ids.select(key).distinct(), key, "left_anti").select(*df.columns)).select(*df.columns)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold at most `most` bytes, or one row."""
     if not len(column):
