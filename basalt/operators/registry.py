@@ -99,7 +99,9 @@ def apply_deltas(changes: DataFrame) -> DataFrame:
         held, pending = Instances(), []
 
         def result(app: str) -> pd.DataFrame:
-            return pd.DataFrame({"app": app, "id": [*held.rows], "status": [*held.rows.values()], "place": range(1, len(held.rows) + 1)})
+            n = len(held.rows)
+            text = {"app": [app] * n, "id": [*held.rows], "status": [*held.rows.values()]}
+            return pd.DataFrame(text, dtype=object).assign(place=pd.array(range(1, n + 1), dtype="int32"))
 
         for batch in batches:
             for app, delta, action, name, state in zip(*(batch[c] for c in ("app", "delta", "action", "id", "status")), strict=True):
