@@ -18,7 +18,7 @@ from basalt.llm import common
 #: Buckets of the hashed features; the weights are as many floats.
 BUCKETS = 1 << 18
 #: Labelled rows that training takes at most, those with the smallest hash of doc_id; the fit is one bounded task.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: Distinct features of one row that training takes at most: the most frequent ones of a huge text.
 ROW_FEATURES = 1 << 16
 PASSES = 3
@@ -58,9 +58,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield lo, hi, buckets[order], np.searchsorted(row[order], np.arange(hi - lo + 1))
 
 
-def fit(rows: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """Weights of all buckets and the bias last, by FTRL-proximal over (buckets, values, label) rows, PASSES times."""
-    rows = list(rows)
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
@@ -96,18 +95,21 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> np
                     if len(x) > ROW_FEATURES:
                         top = np.sort(np.argsort(-n, kind="stable")[:ROW_FEATURES])
                         x, n = x[top], n[top]
-                    found.append(x.tolist())
-                    counts.append((n * (SCALE / max(1, b - a))).tolist())
+                    found.append(x)
+                    counts.append((n * (SCALE / max(1, b - a))).astype(np.float32))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64())), part.column("label")], names=["doc_id", "buckets", "amounts", "label"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), part.column("label")], names=["doc_id", "buckets", "amounts", "label"])
 
     def fitted(table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
-        weights = fit((np.asarray(x["buckets"], np.int64), np.asarray(x["amounts"]), x["label"]) for x in ordered.select(["buckets", "amounts", "label"]).to_pylist())
+        order = np.lexsort((np.asarray(table["doc_id"]), np.asarray(table["order"])))
+        lists = {c: table[c].combine_chunks() for c in ("buckets", "amounts")}
+        starts = np.concatenate([[0], np.cumsum(np.asarray(lists["buckets"].value_lengths(), np.int64))])
+        buckets, amounts, labels = (np.asarray(lists["buckets"].flatten()), np.asarray(lists["amounts"].flatten()), np.asarray(table["label"]))
+        weights = fit([(buckets[starts[k] : starts[k + 1]], amounts[starts[k] : starts[k + 1]], labels[k]) for k in order])
         at = np.flatnonzero(weights)
         return pa.table({"bucket": pa.array(at, pa.int32()), "weight": pa.array(weights[at])})
 
-    counts = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "doc_id long, buckets array<int>, amounts array<double>, label int")
+    counts = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "doc_id long, buckets array<int>, amounts array<float>, label int")
     # TRAIN_ROWS rows at most, in an order that doesn't depend on where they come from
     one = counts.dropDuplicates(["doc_id"]).withColumn("order", F.xxhash64("doc_id", F.lit(1))).withColumn("all", F.lit(0))
     learned = one.groupBy("all").applyInArrow(fitted, "bucket int, weight double").toArrow()
