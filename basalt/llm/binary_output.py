@@ -108,6 +108,7 @@ def decode(body: bytes, first: int = 0, blocks: int | None = None) -> np.ndarray
         raise ValueError("not a Simple-8b body")
     n, n_words = (int(x) for x in np.frombuffer(body, "<u4", 2, 4))
     total = -(-n // BLOCK)
+    first = min(first, total)
     upto = total if blocks is None else min(first + blocks, total)
     offsets = np.frombuffer(body, "<u4", total + 1, 12).astype(np.int64)
     words = np.frombuffer(body, "<u8", n_words, 12 + 4 * (total + 1))[offsets[first] : offsets[upto]]
