@@ -31,9 +31,11 @@ WORDS = tuple(dict.fromkeys(w for group in COMMON_WORDS.values() for w in group)
 #: Character classes counted by pattern; white space and all others (lower-case letters above all) come from the lengths.
 CLASSES = (("upper", r"[A-Z]+"), ("digit", r"[0-9]+"), ("foreign", r"[^\x00-\x7F]+"), ("mark", r"[!-/:-@\[-`{-~]+"))
 
-#: Guards: words from which on a histogram is compared; and the distances from which on a document is rejected.
+#: Guard: words from which on a histogram is compared.
 LEAST_COMPARED = 30
-FARTHEST_CLASSES, FARTHEST_WORDS = 0.2, 0.45
+#: A document is rejected beyond either distance, or beyond both of a smaller pair.
+FARTHEST_CLASSES, FARTHEST_WORDS = 0.24, 0.45
+BOTH_CLASSES, BOTH_WORDS = 0.1, 0.3
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -131,8 +133,8 @@ def judge(df: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept, class_distance, word_distance.
 
     df has doc_id, text and lang. Words are runs of characters other than ASCII white space. Null texts count as empty:
-    no words, so base_failed. kept is false if base_failed, else whether both distances from the language's reference
-    stay within FARTHEST_CLASSES and FARTHEST_WORDS; texts of fewer than LEAST_COMPARED words, and those whose
+    no words, so base_failed. kept is false if base_failed, else whether the distances from the language's reference
+    stay within FARTHEST_CLASSES and FARTHEST_WORDS, and one of them within BOTH_CLASSES or BOTH_WORDS; texts of fewer than LEAST_COMPARED words, and those whose
     language is null or has no reference, have null distances and are kept. Repeated rows are judged each; an empty
     table stays empty; extra columns are ignored.
     """
@@ -144,5 +146,6 @@ def judge(df: DataFrame) -> DataFrame:
         "doc_id", *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed",
         F.when(compared, distance(F.col("classes"), F.col("classes_reference"))).alias("class_distance"), F.when(compared, distance(F.col("words"), F.col("words_reference"))).alias("word_distance"),
     )
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= FARTHEST_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= FARTHEST_WORDS)
+    classes, words = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    near = (classes <= FARTHEST_CLASSES) & (words <= FARTHEST_WORDS) & ((classes <= BOTH_CLASSES) | (words <= BOTH_WORDS))
     return judged.withColumn("kept", ~F.col("base_failed") & near)
