@@ -2,9 +2,12 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes). Equal sets are one node, so copies need no pairs.
 2. A prefix filter bounds what must be compared: of two sets that reach the similarity, the first
-   n - ceil(s * n) + 1 shingles of each, rarest first, share one. Frequent shingles only change that order.
-3. Nodes are partitioned into groups of similar ones: under each shingle the nodes are compared with one leader, and
-   what links verify make a group. That is as many comparisons as rows, however large a group of near copies is.
+   n - ceil(s * n) + 1 shingles of each, rarest first, share one. Frequent shingles only change that order. Places in
+   that order bound further: behind the first shared shingle there must be room for the rest of the overlap. Pairs
+   that come out are compared by their whole prefixes before their texts are read.
+3. Nodes are partitioned into groups of similar ones: under each shingle the nodes are compared with one leader, the
+   node where it comes first, and what links verify make a group. That is as many comparisons as rows, however large
+   a group of near copies is; what its copies share comes first in the text that they were made from.
 4. The token-group matrix holds the union of its nodes' prefix shingles for each group. A node's count in a foreign
    group's union bounds its overlap with every node there; only groups that the bound lets through are opened, and
    the nodes in them that their own bound lets through are compared exactly.
@@ -26,10 +29,12 @@ from basalt.llm import common
 #: Similarity as a fraction.
 UP, DOWN = 4, 5
 WIDTH = 5
-#: How many of the most frequent shingles the prefix order knows; 16 bytes each are broadcast. Only speed depends on it.
-FREQUENT = 1 << 17
-#: Bits of the filter of shingles that several nodes share, broadcast as 8 MB; a fuller filter only lets more rows through.
-FILTER_BITS = 26
+#: How many of the most frequent shingles the prefix order knows at most; 16 bytes each are broadcast. Only speed depends on it.
+FREQUENT = 1 << 20
+#: Bits of the filter of shingles that several nodes share, broadcast as 16 MB; a fuller filter only lets more rows through.
+FILTER_BITS = 27
+#: Shingles in which repeats are counted at once.
+COUNTED_TOKENS = 2_000_000
 #: Prefix shingles that one task of the sharing test holds.
 TASK_TOKENS = 2_000_000
 
@@ -57,11 +62,19 @@ def sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int, np.nd
 
 
 def digests(documents: DataFrame, width: int) -> DataFrame:
-    """A row per document (doc_id, node, n), and rows (token, weight) of shingles that several nodes of a batch have."""
+    """A row per document (doc_id, node, n), and rows (token, weight) of shingles that several nodes of a run of documents have."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, seen, ids = [np.zeros(0, np.uint64)], np.zeros(0, np.int64), batch.column("doc_id")
+
+            def often() -> pa.RecordBatch:
+                tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
+                more = counts > 1
+                blank = pa.nulls(int(more.sum()), pa.int64())
+                kept[1:] = []
+                return pa.RecordBatch.from_arrays([blank, blank, blank.cast(pa.int32()), pa.array(tokens[more].view(np.int64)), pa.array(counts[more], pa.int32())], names=names)
+
             for a, b, tokens, bounds, nodes in sets(batch.column("text"), width):
                 n = np.diff(bounds)
                 blank = pa.nulls(b - a, pa.int64())
@@ -71,15 +84,30 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
                 first &= ~np.isin(nodes, seen)
                 seen = np.concatenate([seen, nodes[first]])
                 kept.append(tokens[np.repeat(first, n)])
-            tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
-            often = counts > 1
-            blank = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([blank, blank, blank.cast(pa.int32()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often], pa.int32())], names=names)
+                if sum(map(len, kept)) > COUNTED_TOKENS:
+                    yield often()
+            yield often()
 
     names = ["doc_id", "node", "n", "token", "weight"]
     return documents.mapInArrow(made, "doc_id long, node long, n int, token long, weight int")
 
 
+def frequent_shingles(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles in ascending order, FREQUENT at most, and the level of each: eight times the binary logarithm of its count."""
+    level = F.floor(F.log2(F.sum("weight").cast("double")) * 8).cast("int").alias("level")
+    often = common.settled(facts.where("token is not null").groupBy("token").agg(level))
+    left, least = FREQUENT, 1 << 30
+    for row in sorted(often.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundreds of levels
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["level"]
+    found = often.where(F.col("level") >= least).toArrow()
+    tokens, levels = np.asarray(found["token"], np.int64).view(np.uint64), np.asarray(found["level"], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], levels[order]
+
+
 def prefixes(documents: DataFrame, frequent: np.ndarray, weights: np.ndarray, width: int) -> DataFrame:
     """Per document with an id and words: node, doc (its id), n and the first n - ceil(s * n) + 1 shingles, rarest first."""
     near = np.zeros(1 << 22, bool)
@@ -118,18 +146,18 @@ def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_filter(nodes: DataFrame, total: int) -> np.ndarray:
-    """A bitmap over the highest FILTER_BITS bits of shingles: set where a shingle is in the prefixes of two nodes or more.
+    """A bitmap over the highest FILTER_BITS bits of shingles' mixed hashes (prefixes hold the smallest unmixed ones): set where a shingle is in the prefixes of two nodes or more.
 
     Each batch sends a shingle at most twice, so no shingle is large; each task tests a range of shingles and makes
     its stretch of the bitmap, whose whole size is fixed.
     """
-    buckets = 1 << max(4, min(14, (max(1, total // TASK_TOKENS) - 1).bit_length()))
+    buckets = 1 << max(6, min(14, (max(1, total // TASK_TOKENS) - 1).bit_length()))
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     span = (1 << FILTER_BITS) // buckets
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, counts = np.unique(flat(batch)[0], return_counts=True)
+            tokens, counts = np.unique(common.mix(flat(batch)[0]), return_counts=True)
             tokens = np.repeat(tokens, np.minimum(counts, 2))
             cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
@@ -151,19 +179,28 @@ def shared_filter(nodes: DataFrame, total: int) -> np.ndarray:
 
 
 def live_rows(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(token, node, n) of all prefix shingles that the filter lets through."""
+    """(token, node, spot) of all prefix shingles that the filter lets through; spot: the shingle's place in the node's order in the high half, the node's shingles in the low one."""
     sent = nodes.sparkSession.sparkContext.broadcast(bitmap)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = sent.value
         for batch in batches:
             tokens, row = flat(batch)
-            at = (tokens >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            spot = (np.arange(len(row)) - np.searchsorted(row, row) << 32) + np.asarray(batch.column("n"), np.int64)[row]
+            at = (common.mix(tokens) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             on = (whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            row = pa.array(row[on])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[on].view(np.int64)), batch.column("node").take(row), batch.column("n").take(row)], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[on].view(np.int64)), batch.column("node").take(pa.array(row[on])), pa.array(spot[on])], names=["token", "node", "spot"])
+
+    return nodes.select("node", "n", "prefix").mapInArrow(made, "token long, node long, spot long")
+
 
-    return nodes.select("node", "n", "prefix").mapInArrow(made, "token long, node long, n int")
+def n_of(spot: str) -> Column:
+    return F.col(spot).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def rest_of(spot: str) -> Column:
+    """Shingles of the node from this one on."""
+    return n_of(spot) - F.shiftright(spot, 32)
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -176,16 +213,29 @@ def behind(n: Column) -> Column:
     return F.ceil(n * UP / F.lit(DOWN) - F.lit(1e-9)) - 1
 
 
-def possible(common_: Column, a: Column, b: Column) -> Column:
-    """Whether sets of a and b shingles whose prefixes share common_ may link."""
-    return (F.least(a, b) * DOWN >= F.greatest(a, b) * UP) & (common_ + F.greatest(behind(a), behind(b)) >= needed(a, b))
+def room(n: Column, rest: Column, low: Column, other: Column) -> Column:
+    """Whether a set of n shingles may first share a shingle, behind which it has `rest` with it, with a set of `low` shingles or more that has `other` at most."""
+    least = needed(n, F.greatest(low, F.ceil(n * UP / F.lit(DOWN) - F.lit(1e-9))))
+    return (rest >= least) & (other >= least)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough: the overlap is at most what they share and what lies behind either."""
+    pairs = common.settled(pairs)
+    both = common.joinable(nodes.select("node", "n", "prefix"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    joined = pairs.join(both.toDF("a", "n", "x"), "a").join(both.toDF("b", "bn", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return joined.where(shared + F.greatest(behind(F.col("n")), behind(F.col("bn"))) >= needed(F.col("n"), F.col("bn"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose documents' sets link, by their exact overlap."""
+    pairs = plausible(pairs, nodes)
     at = nodes.select("node", "doc")
     joined = pairs.join(at.toDF("a", "doc_a"), "a").join(at.toDF("b", "doc_b"), "b")
-    texts = documents.where("doc_id is not null")
+    joined = common.settled(joined)
+    wanted = joined.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    texts = common.joinable(documents, wanted, "doc_id")
     joined = joined.join(texts.toDF("doc_a", "text_a"), "doc_a").join(texts.toDF("doc_b", "text_b"), "doc_b").select("a", "b", "text_a", "text_b")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,33 +272,34 @@ def jaccard_components(df: DataFrame, width: int = WIDTH) -> DataFrame:
     documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = common.settled(digests(documents, width))
     digest = facts.where("n is not null").select("doc_id", "node", "n")
-    often = facts.where("token is not null").groupBy("token").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "token").limit(FREQUENT).toArrow()
-    frequent, weights = np.asarray(often["token"], np.int64).view(np.uint64), np.asarray(often["weight"], np.int64)
-    order = np.argsort(frequent)
-    nodes = common.settled(prefixes(documents, frequent[order], weights[order], width))
+    frequent, weights = frequent_shingles(facts)
+    nodes = common.settled(prefixes(documents, frequent, weights, width))
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    rows = common.settled(live_rows(nodes, shared_filter(nodes, total)))
-
-    # groups: under each shared shingle, nodes against the first one
-    leaders = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("bn"))
-    star = rows.join(leaders, "token").where("node <> b").groupBy(F.col("node").alias("a"), "b", "n", "bn").agg(F.count("*").alias("k"))
-    star = star.where(possible(F.col("k"), F.col("n"), F.col("bn"))).select("a", "b")
+    rows = live_rows(nodes, shared_filter(nodes, total))
+    first = F.min(F.struct("spot", "node")).alias("l")
+    shared = rows.groupBy("token").agg(first, F.count("*").alias("k"), F.min(n_of("spot")).alias("low"), F.max(rest_of("spot")).alias("most")).where("k > 1")
+    met = rows.join(shared, "token").where(room(n_of("spot"), rest_of("spot"), F.col("low"), F.col("most")))
+    rows = common.settled(met.select("token", "node", "spot", F.col("l.node").alias("b"), F.col("l.spot").alias("bspot")))
+
+    # groups: under each shared shingle, nodes against the one where it comes first
+    fits = (n_of("spot") * DOWN >= n_of("bspot") * UP) & (n_of("bspot") * DOWN >= n_of("spot") * UP)
+    fits &= room(n_of("spot"), rest_of("spot"), n_of("bspot"), rest_of("bspot")) & room(n_of("bspot"), rest_of("bspot"), n_of("spot"), rest_of("spot"))
+    star = rows.where("node <> b").where(fits).select(F.col("node").alias("a"), "b").distinct()
     links = common.settled(verified(star, nodes, documents, width))
     groups = common.components(links).toDF("node", "g")
 
     # the token-group matrix, and nodes against foreign groups
-    grouped = rows.join(groups, "node", "left").select("token", "node", "n", F.coalesce("g", "node").alias("g"))
+    grouped = rows.join(groups, "node", "left").select("token", "node", "spot", F.coalesce("g", "node").alias("g"))
     several = grouped.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
     grouped = common.settled(grouped.join(several, "token"))
-    matrix = grouped.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    spread = grouped.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    bound = grouped.join(matrix.select("token", "h"), "token").where("h < g").groupBy("node", "n", "h").agg(F.count("*").alias("k")).join(spread, "h")
+    matrix = grouped.groupBy("token", F.col("g").alias("h")).agg(F.min(n_of("spot")).alias("low"), F.max(rest_of("spot")).alias("most"))
+    spread = grouped.groupBy(F.col("g").alias("h")).agg(F.min(n_of("spot")).alias("low"), F.max(n_of("spot")).alias("high"))
+    met = (F.col("q.token") == F.col("m.token")) & (F.col("m.h") < F.col("q.g")) & room(n_of("q.spot"), rest_of("q.spot"), F.col("m.low"), F.col("m.most"))
+    bound = grouped.alias("q").join(matrix.alias("m"), met).select("q.node", n_of("q.spot").alias("n"), "m.h").distinct().join(spread, "h")
     low, high = F.greatest("low", F.ceil(F.col("n") * UP / F.lit(DOWN) - F.lit(1e-9))), F.least("high", F.floor(F.col("n") * DOWN / F.lit(UP) + F.lit(1e-9)))
-    # between the ends the bound is not looser than at one of them
-    opened = bound.where((low <= high) & (possible(F.col("k"), F.col("n"), low) | possible(F.col("k"), F.col("n"), high))).select("node", "h")
-    inside = grouped.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("g").alias("h"))
-    across = grouped.select("token", "node", "n").join(opened, "node").join(inside, ["token", "h"]).groupBy(F.col("node").alias("a"), "b", "n", "bn").agg(F.count("*").alias("k"))
-    across = across.where(possible(F.col("k"), F.col("n"), F.col("bn"))).select("a", "b")
+    opened = bound.where(low <= high).select("node", "h")
+    inside = grouped.select("token", F.col("node").alias("b"), F.col("spot").alias("bspot"), F.col("g").alias("h"))
+    across = grouped.select("token", "node", "spot").join(opened, "node").join(inside, ["token", "h"]).where(fits).select(F.col("node").alias("a"), "b").distinct()
     more = common.settled(verified(across, nodes, documents, width))
 
     roots = common.components(links.unionByName(more)).toDF("node", "root")
