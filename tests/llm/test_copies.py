@@ -98,7 +98,7 @@ def test_without_leaves_exactly_the_others(spark):
 
 
 def norm(line):
-    return re.sub(r"[^a-z0\x80-\U0010ffff]+", " ", re.sub("[1-9]", "0", line.lower())).strip(" ")
+    return [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", line.lower()) if w]
 
 
 def levenshtein(a, b):
