@@ -190,8 +190,9 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         small = settled(small)
         # done when every u has one v and no v is itself a u
-        moved = small.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        open_ = moved.where("n > 1").select("u").unionByName(moved.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u"))
+        end = lambda c, n, m: F.struct(F.col(c).alias("w"), F.lit(n).alias("n"), F.lit(m).alias("m"))
+        ends = small.select(F.inline(F.array(end("u", 1, 0), end("v", 0, 1)))).groupBy("w").agg(F.sum("n").alias("n"), F.max("m").alias("m"))
+        open_ = ends.where("n > 1 or (n > 0 and m > 0)")
         edges = small
         if open_.isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
