@@ -17,6 +17,7 @@ Links inside a group needn't be looked for, since only what is connected counts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,6 +229,20 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(shared + F.greatest(behind(F.col("n")), behind(F.col("bn"))) >= needed(F.col("n"), F.col("bn"))).select("a", "b")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) with the texts compressed, as they are shuffled to their pairs."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([zlib.compress((x or "").encode(), 3) for x in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "text"])
+
+    return texts.mapInArrow(made, "doc_id long, text binary")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(x).decode() for x in column.to_pylist()], pa.string())
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose documents' sets link, by their exact overlap."""
     pairs = plausible(pairs, nodes)
@@ -235,19 +250,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: in
     joined = pairs.join(at.toDF("a", "doc_a"), "a").join(at.toDF("b", "doc_b"), "b")
     joined = common.settled(joined)
     wanted = joined.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    texts = common.joinable(documents, wanted, "doc_id")
+    texts = packed(common.joinable(documents, wanted, "doc_id"))
     joined = joined.join(texts.toDF("doc_a", "text_a"), "doc_a").join(texts.toDF("doc_b", "text_b"), "doc_b").select("a", "b", "text_a", "text_b")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, held = None, None
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             a, b = (np.asarray(batch.column(c), np.int64) for c in "ab")
             ok = np.zeros(len(a), bool)
-            for lo, _, tokens, bounds, nodes in sets(batch.column("text_a"), width):
+            for lo, _, tokens, bounds, nodes in sets(unpacked(batch.column("text_a")), width):
                 for k in np.flatnonzero(nodes == a[lo : lo + len(nodes)]):
                     i = int(lo + k)
                     if leader != b[i]:
-                        whole = next(iter(sets(batch.column("text_b").slice(i, 1), width)))
+                        whole = next(iter(sets(unpacked(batch.column("text_b").slice(i, 1)), width)))
                         if whole[4][0] != b[i]:  # another text under the same id
                             continue
                         leader, held = b[i], whole[2]
