@@ -59,6 +59,8 @@ class Hashes:
         lengths = np.array([len(x) for _, x in self.items], np.int64)
         rng = np.random.default_rng(seed)
         allowed = (SHARE * lengths + 1e-9).astype(np.int64)
+        #: Random bits by symbol for each hash; all classes share them.
+        self.bits = [rng.integers(0, 1 << 63, (2, len(self.vocabulary) + 2), dtype=np.uint64) for _ in range(REPEATS)]
         #: Of each class: least length, reach of a window, edits of each member, its words that it has once, their set, hash tables.
         self.classes = []
         low, size = LEAST_WORDS, max(8, len(self.items) // CLASSES)
@@ -80,8 +82,7 @@ class Hashes:
             text[k, : len(self.items[m][1])] = self.items[m][1]
         steps = max(SAMPLES + 1, int(1.6 * low))
         tables = []
-        for _ in range(REPEATS):
-            bits = rng.integers(0, 1 << 63, (2, len(self.vocabulary) + 2), dtype=np.uint64)
+        for bits in self.bits:
             sampled = np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False))
             keys = [*self.walk(text.ravel(), np.arange(len(members)) * (longest + 1), np.arange(len(members)) * (longest + 1) + np.array([len(self.items[m][1]) for m in members]), bits, sampled)]
             order = np.argsort(keys[-1][1], kind="stable")
