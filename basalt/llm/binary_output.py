@@ -124,17 +124,23 @@ def decode(body: bytes, first: int = 0, blocks: int | None = None) -> np.ndarray
     heads = np.flatnonzero(~raw)
     escape = selector[heads] == ESCAPE
     held = np.where(escape, 1, COUNTS[np.minimum(selector[heads], 13)])
-    before = np.concatenate([[0], np.cumsum(held)])
-    start_of_block = before[np.searchsorted(block[heads], np.arange(first, upto))] if len(heads) else np.zeros(0, np.int64)
+    # the last word of a block holds what is left of it
     sizes = np.minimum((np.arange(first, upto) + 1) * BLOCK, n) - np.arange(first, upto) * BLOCK
-    out = np.zeros(before[-1], np.uint64)
-    out[before[:-1][escape]] = words[heads[escape] + 1]
-    for s in np.unique(selector[heads[~escape]]):
-        k = np.flatnonzero(~escape & (selector[heads] == s))
-        shift = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])
-        out[before[k][:, None] + np.arange(COUNTS[s])] = (words[heads[k], None] >> shift) & np.uint64((1 << int(BITS[s])) - 1)
-    kept = np.arange(sizes.sum()) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.repeat(start_of_block, sizes)
-    return out[kept]
+    last = np.searchsorted(block[heads], np.arange(first, upto), side="right") - 1
+    through = np.cumsum(held)
+    held[last] -= np.diff(through[last], prepend=0) - sizes
+    before = np.cumsum(held) - held
+    out = np.zeros(sizes.sum(), np.uint64)
+    out[before[escape]] = words[heads[escape] + 1]
+    for s in np.flatnonzero(np.bincount(selector[heads[~escape]], minlength=14)):
+        k = np.flatnonzero(selector[heads] == s)
+        value, at, room, mask = words[heads[k]], before[k], held[k], np.uint64((1 << int(BITS[s])) - 1)
+        for j in range(int(COUNTS[s])):
+            if j and (short := room <= j).any():
+                value, at, room = value[~short], at[~short], room[~short]
+            out[at + j] = value & mask
+            value = value >> np.uint64(BITS[s])
+    return out
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, part_bytes: int = 6 << 20) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from basalt.llm.common import slices
 REMEMBERED = 3 << 18
 #: Bytes of unseen pieces in one call of the tokenizer.
 CALL_BYTES = 1 << 20
+#: Unseen words laid side by side in one text of such a call.
+LINE = 24
 
 #: A space before a character that isn't white space: no pre-token of byte-level BPE reaches over it, whatever stands before.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -144,7 +147,7 @@ class Memory:
 class Pieces(Memory):
     """Pieces of byte-level BPE, encoded by the tokenizers library.
 
-    Unseen words behind a space are encoded as one long text a run, and cut again where the bytes of their
+    Unseen words behind a space are encoded LINE to a text, and cut again where the bytes of their
     tokens have come to the bytes of the piece. A run whose tokens don't add up so is encoded piece by piece.
     """
 
@@ -160,7 +163,9 @@ class Pieces(Memory):
 
     def _learn(self, words: list[str]) -> None:
         for run, sizes in balanced(words):
-            ids = np.array(self.made.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            texts = [" " + " ".join(run[k : k + LINE]) for k in range(0, len(run), LINE)]
+            found = self.made.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
             ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
             wanted = np.concatenate([[0], np.cumsum(sizes + 1)])
             cut = np.searchsorted(ends, wanted)
