@@ -28,6 +28,9 @@ SHARE = 0.2
 LEAST_WORDS = 5
 #: Sampled steps of one hash, and hashes; with these, recall of passages at the largest distance is above 0.9 (tests).
 SAMPLES, REPEATS = 3, 40
+#: The longer a walk, the more edits it has to get over: items with walks over LONG steps are hashed as often by their first
+#: EARLY steps alone, so that recall doesn't fall with length.
+LONG, EARLY = 96, 64
 #: Words of items that one pass over the documents broadcasts: the benchmark is taken in blocks of this size.
 BLOCK_WORDS = 200_000
 #: A word is rare, by either measure, if at most this share of a batch's words is it. The measures don't change what is found.
@@ -82,8 +85,8 @@ class Hashes:
             text[k, : len(self.items[m][1])] = self.items[m][1]
         steps = max(SAMPLES + 1, int(1.6 * low))
         tables = []
-        for bits in self.bits:
-            sampled = np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False))
+        for bits, reach in [(b, n) for n in ([steps, EARLY] if steps > LONG else [steps]) for b in self.bits]:
+            sampled = np.sort(rng.choice(reach, min(SAMPLES, reach), replace=False))
             keys = [*self.walk(text.ravel(), np.arange(len(members)) * (longest + 1), np.arange(len(members)) * (longest + 1) + np.array([len(self.items[m][1]) for m in members]), bits, sampled)]
             order = np.argsort(keys[-1][1], kind="stable")
             tables.append((bits, sampled, [np.unique(k) for _, k in keys], keys[-1][1][order], members[order]))
