@@ -35,7 +35,7 @@ LONG, EARLY = 96, 64
 BLOCK_WORDS = 200_000
 #: A word is rare, by either measure, if at most this share of a batch's words is it. The measures don't change what is found.
 RARE = (0.0002, 0.001, 0.004)
-#: Repeats of a rare word so near count once.
+#: Repeats of a rare word so near count once in a window.
 NEAR = 4
 #: Classes of items: lengths from one to below GROWTH times it, and about CLASSES in all so that their words are few.
 GROWTH, CLASSES = 1.25, 32
@@ -130,6 +130,12 @@ class Hashes:
             at = base = base[rare[text[base]]]
             for back in range(1, NEAR + 1):  # an item has the word once: of repeats so near one counts
                 at = at[(at < back) | (text[at] != text[at - back])]
+            # a repeat counts where the one before it may stand in front of the window: in the window's first NEAR places
+            again = np.setdiff1d(base, at, assume_unique=True)
+
+            def enough(s: np.ndarray, at: np.ndarray = at, again: np.ndarray = again, least: int = least) -> np.ndarray:
+                return np.searchsorted(at, s + reach) - np.searchsorted(at, s) + np.searchsorted(again, s + NEAR) - np.searchsorted(again, s) >= least
+
             if starts is None:
                 first, last = at[: max(0, len(at) - least + 1)], at[least - 1 :]
                 close = last - first < reach
@@ -137,8 +143,11 @@ class Hashes:
                 low[1:] = np.maximum(low[1:], first[:-1] + 1)
                 n = np.maximum(first - low + 1, 0)
                 starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                more = np.unique(again[:, None] - np.arange(NEAR))
+                more = more[more >= 0]
+                starts = np.union1d(starts, more[enough(more)])
             else:
-                starts = starts[np.searchsorted(at, starts + reach) - np.searchsorted(at, starts) >= least]
+                starts = starts[enough(starts)]
         starts = np.arange(len(text)) if starts is None else starts
         return starts[text[starts] != 1]
 

@@ -36,3 +36,12 @@ def test_recall_at_every_length_and_distance(n, share):
     items = [drawn(rng, n) for _ in range(20)]
     found = searched(items, [drawn(rng, 60) + edited(rng, x, int(share * n + 1e-9), pool) + drawn(rng, 60) for x in items])
     assert sum((k, k) in found for k in range(20)) >= (20 if not share else 18)
+
+
+@pytest.mark.parametrize("n", [5, 7, 9, 15])
+@pytest.mark.parametrize("head", [1, 2, 3, 4])
+def test_passages_behind_their_own_first_words(n, head):
+    rng = random.Random(9)
+    items = [[f"i{k}x{j}" for j in range(n)] for k in range(3)]
+    texts = [drawn(rng, 40) + x[:head] + x + drawn(rng, 400) for x in items]
+    assert searched(items, texts) == {(k, k): (40 + head, 0) for k in range(3)}
