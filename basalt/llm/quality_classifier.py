@@ -19,8 +19,6 @@ from basalt.llm import common
 BUCKETS = 1 << 18
 #: Labelled rows that training takes at most, those with the smallest hash of doc_id; the fit is one bounded task.
 TRAIN_ROWS = 8_000
-#: Distinct features of one row that training takes at most: the most frequent ones of a huge text.
-ROW_FEATURES = 1 << 16
 PASSES = 3
 #: Follow-the-regularised-leader: step size, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
@@ -92,9 +90,6 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> np
                 found, counts = [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     x, n = np.unique(buckets[a:b], return_counts=True)
-                    if len(x) > ROW_FEATURES:
-                        top = np.sort(np.argsort(-n, kind="stable")[:ROW_FEATURES])
-                        x, n = x[top], n[top]
                     found.append(x)
                     counts.append((n * (SCALE / max(1, b - a))).astype(np.float32))
                 part = batch.slice(lo, hi - lo)
