@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,24 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through the shared checkpoint folder; spark.checkpoint.dir wins over the fallback for local runs."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where the whole session runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints")
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-#: Words of 64 bits of the filter that is broadcast to tell which rows may join: about 2 MB, however many ids there are.
-FILTER_WORDS = 1 << 17
+def stored(df: DataFrame) -> DataFrame:
+    """df cut from its lineage as a Parquet table in the shared folder, for what is large and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/stored_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids up to which a bitmap of their hashes tells which rows may join, and 64-bit words of the largest such bitmap, 2 MB, at
+#: eight bits an id. It grows with the number of ids, which is counted; with more ids all rows are joined without it.
+FILTER_IDS, FILTER_WORDS = 1 << 21, 1 << 18
 
 
 def marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df with may_join_: whether its key has its bit in a bitmap of fixed size of the ids' hashes. A full bitmap only says yes more often."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS)).alias("slot_")
+    """df with may_join_: whether its key has its bit in a bitmap of the ids' hashes; true for every key beyond FILTER_IDS ids."""
+    n = ids.count()
+    if n > FILTER_IDS:
+        return df.withColumn("may_join_", F.col(key).isNotNull())
+    words = min(FILTER_WORDS, 1 << max(6, (n // 2).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(words)).alias("slot_")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(64)).cast("int"))
     bitmap = ids.where(F.col(key).isNotNull()).groupBy(at(F.col(key))).agg(F.bit_or(bit(F.col(key))).alias("bits_"))
     joined = df.withColumn("slot_", at(F.col(key))).join(F.broadcast(bitmap), "slot_", "left")
