@@ -82,7 +82,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> np
     """
     open_ = labels.where(f"{label} is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     chosen = open_.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = common.small_batches(documents).where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,4 +133,4 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])
-    return df.select(*(f"`{c}`" for c in keep)).mapInArrow(scored, schema)
+    return common.small_batches(df).select(*(f"`{c}`" for c in keep)).mapInArrow(scored, schema)
