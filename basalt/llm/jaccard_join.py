@@ -5,9 +5,9 @@
    n - ceil(s * n) + 1 shingles of each, rarest first, share one. Frequent shingles only change that order. Places in
    that order bound further: behind the first shared shingle there must be room for the rest of the overlap. Pairs
    that come out are compared by their whole prefixes before their texts are read.
-3. Nodes are partitioned into groups of similar ones: under each shingle the nodes are compared with one leader, the
-   node where it comes first, and what links verify make a group. That is as many comparisons as rows, however large
-   a group of near copies is; what its copies share comes first in the text that they were made from.
+3. Nodes are partitioned into groups of similar ones: a shingle's leader is the node where it comes first, and every node
+   is compared with the leader that it meets most often; what links verify make a group. That is a comparison a node,
+   however large a group of near copies is; what its copies share comes first in the text that they were made from.
 4. The token-group matrix holds the union of its nodes' prefix shingles for each group. A node's count in a foreign
    group's union bounds its overlap with every node there; only groups that the bound lets through are opened, and
    the nodes in them that their own bound lets through are compared exactly.
@@ -96,7 +96,7 @@ def digests(documents: DataFrame, width: int) -> DataFrame:
 def frequent_shingles(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles in ascending order, FREQUENT at most, and the level of each: eight times the binary logarithm of its count."""
     level = F.floor(F.log2(F.sum("weight").cast("double")) * 8).cast("int").alias("level")
-    often = common.settled(facts.where("token is not null").groupBy("token").agg(level))
+    often = common.stored(facts.where("token is not null").groupBy("token").agg(level))
     left, least = FREQUENT, 1 << 30
     for row in sorted(often.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundreds of levels
         left -= row["count"]
@@ -152,7 +152,7 @@ def shared_filter(nodes: DataFrame, total: int) -> np.ndarray:
     Each batch sends a shingle at most twice, so no shingle is large; each task tests a range of shingles and makes
     its stretch of the bitmap, whose whole size is fixed.
     """
-    buckets = 1 << max(6, min(14, (max(1, total // TASK_TOKENS) - 1).bit_length()))
+    buckets = 1 << max(6, min(FILTER_BITS - 3, (max(1, total // TASK_TOKENS) - 1).bit_length()))
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     span = (1 << FILTER_BITS) // buckets
 
@@ -284,29 +284,30 @@ def jaccard_components(df: DataFrame, width: int = WIDTH) -> DataFrame:
     share a doc_id but not a text are nodes of their own, and component_id is the smallest id among a row's node's
     links. Extra columns are ignored. An empty table gives an empty table.
     """
-    documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = common.settled(digests(documents, width))
+    documents = common.small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    facts = common.stored(digests(documents, width))
     digest = facts.where("n is not null").select("doc_id", "node", "n")
     frequent, weights = frequent_shingles(facts)
-    nodes = common.settled(prefixes(documents, frequent, weights, width))
+    nodes = common.stored(prefixes(documents, frequent, weights, width))
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rows = live_rows(nodes, shared_filter(nodes, total))
     first = F.min(F.struct("spot", "node")).alias("l")
     shared = rows.groupBy("token").agg(first, F.count("*").alias("k"), F.min(n_of("spot")).alias("low"), F.max(rest_of("spot")).alias("most")).where("k > 1")
     met = rows.join(shared, "token").where(room(n_of("spot"), rest_of("spot"), F.col("low"), F.col("most")))
-    rows = common.settled(met.select("token", "node", "spot", F.col("l.node").alias("b"), F.col("l.spot").alias("bspot")))
+    rows = common.stored(met.select("token", "node", "spot", F.col("l.node").alias("b"), F.col("l.spot").alias("bspot")))
 
-    # groups: under each shared shingle, nodes against the one where it comes first
+    # groups: of the nodes that come first under a node's shingles, the one that it meets most often
     fits = (n_of("spot") * DOWN >= n_of("bspot") * UP) & (n_of("bspot") * DOWN >= n_of("spot") * UP)
     fits &= room(n_of("spot"), rest_of("spot"), n_of("bspot"), rest_of("bspot")) & room(n_of("bspot"), rest_of("bspot"), n_of("spot"), rest_of("spot"))
-    star = rows.where("node <> b").where(fits).select(F.col("node").alias("a"), "b").distinct()
+    star = rows.where("node <> b").where(fits).groupBy("node", "b").agg(F.count("*").alias("c"))
+    star = star.groupBy("node").agg(F.max(F.struct("c", "b")).alias("l")).select(F.col("node").alias("a"), F.col("l.b").alias("b"))
     links = common.settled(verified(star, nodes, documents, width))
     groups = common.components(links).toDF("node", "g")
 
     # the token-group matrix, and nodes against foreign groups
     grouped = rows.join(groups, "node", "left").select("token", "node", "spot", F.coalesce("g", "node").alias("g"))
     several = grouped.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("token")
-    grouped = common.settled(grouped.join(several, "token"))
+    grouped = common.stored(grouped.join(several, "token"))
     matrix = grouped.groupBy("token", F.col("g").alias("h")).agg(F.min(n_of("spot")).alias("low"), F.max(rest_of("spot")).alias("most"))
     spread = grouped.groupBy(F.col("g").alias("h")).agg(F.min(n_of("spot")).alias("low"), F.max(n_of("spot")).alias("high"))
     met = (F.col("q.token") == F.col("m.token")) & (F.col("m.h") < F.col("q.g")) & room(n_of("q.spot"), rest_of("q.spot"), F.col("m.low"), F.col("m.most"))
