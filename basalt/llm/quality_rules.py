@@ -31,6 +31,8 @@ WORDS = tuple(dict.fromkeys(w for group in COMMON_WORDS.values() for w in group)
 #: Character classes counted by pattern; white space and all others (lower-case letters above all) come from the lengths.
 CLASSES = (("upper", r"[A-Z]+"), ("digit", r"[0-9]+"), ("foreign", r"[^\x00-\x7F]+"), ("mark", r"[!-/:-@\[-`{-~]+"))
 
+#: Languages up to which the references, some 400 bytes each, are broadcast.
+LANGUAGES = 10_000
 #: Guard: words from which on a histogram is compared.
 LEAST_COMPARED = 30
 #: A document is rejected beyond either distance, or beyond both of a smaller pair.
@@ -138,9 +140,10 @@ def judge(df: DataFrame) -> DataFrame:
     language is null or has no reference, have null distances and are kept. Repeated rows are judged each; an empty
     table stays empty; extra columns are ignored.
     """
-    known = common.settled(facts(df))
-    # a row for each language; the join lets Spark weigh its size
-    judged = known.join(references(known), "lang", "left")
+    known = common.stored(facts(df))
+    # a row for each language, broadcast where there are few, so that documents of one language don't meet in one task
+    reference = common.settled(references(known))
+    judged = known.join(F.broadcast(reference) if reference.count() <= LANGUAGES else reference, "lang", "left")
     compared = F.col("n_words") >= LEAST_COMPARED
     judged = judged.select(
         "doc_id", *(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed",
