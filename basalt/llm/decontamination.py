@@ -24,7 +24,7 @@ from basalt.llm import common
 
 #: Edits allowed for each word of an item.
 SHARE = 0.2
-#: Items with fewer words aren't looked for.
+#: Items with fewer words allow no edit: all runs of so many words are looked up by one hash instead of the walk's.
 LEAST_WORDS = 5
 #: Sampled steps of one hash, and hashes; with these, recall of passages at the largest distance is above 0.9 (tests).
 SAMPLES, REPEATS = 3, 40
@@ -58,10 +58,17 @@ class Hashes:
         symbols = np.searchsorted(self.vocabulary, hashed).astype(np.int32) + 2
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.items = [(i, symbols[a:b]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True) if b - a >= LEAST_WORDS]
+        self.items = [(i, symbols[a:b]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True) if b > a]
         lengths = np.array([len(x) for _, x in self.items], np.int64)
         rng = np.random.default_rng(seed)
         allowed = (SHARE * lengths + 1e-9).astype(np.int64)
+        #: By number of words below LEAST_WORDS: hashes of the items in order, and the items.
+        self.short = {}
+        for n in range(1, LEAST_WORDS):
+            if len(members := np.flatnonzero(lengths == n)):
+                keys = self.runs(np.concatenate([self.items[m][1] for m in members]), np.arange(len(members)) * n, n)
+                order = np.argsort(keys, kind="stable")
+                self.short[n] = keys[order], members[order]
         #: Random bits by symbol for each hash; all classes share them.
         self.bits = [rng.integers(0, 1 << 63, (2, len(self.vocabulary) + 2), dtype=np.uint64) for _ in range(REPEATS)]
         #: Of each class: least length, reach of a window, edits of each member, its words that it has once, their set, hash tables.
@@ -110,6 +117,21 @@ class Hashes:
                 rows, at, key, ends = rows[on], at[on], key[on], ends[on]
             yield rows, key
 
+    @staticmethod
+    def runs(text: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n symbols from each start on."""
+        key = np.zeros(len(starts), np.uint64)
+        for k in range(n):
+            key = common.mix(key * np.uint64(common.BASE) + text[starts + k].astype(np.uint64))
+        return key
+
+    def met(self, rows: np.ndarray, key: np.ndarray, keys: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """All pairs of a row and an item whose key is the row's, as row * items + item."""
+        first, last = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+        n = last - first
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.repeat(rows, n) * len(self.items) + members[at]
+
     def symbols(self, hashed: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashed), np.int32)
         maybe = np.flatnonzero(self.near[(hashed & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -165,10 +187,10 @@ class Hashes:
                 rows, key = starts, np.zeros(0, np.uint64)
                 for at, key in self.walk(text, starts, ends[starts], bits, sampled, partial):
                     rows = starts[at]
-                first, last = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-                n = last - first
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                found.append(np.repeat(rows, n) * len(self.items) + members[at])
+                found.append(self.met(rows, key, keys, members))
+        for n, (keys, members) in self.short.items():
+            starts = np.flatnonzero((text > 1) & (np.arange(len(text)) + n <= ends))
+            found.append(self.met(starts, self.runs(text, starts, n), keys, members))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs // max(1, len(self.items)), pairs % max(1, len(self.items))
 
@@ -204,11 +226,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The passages found: doc_id, item_id, start_word (from 0), n_words and edits, one row for each document row and item, its best passage (fewest edits, then first).
 
     df has doc_id and text, benchmark item_id and text. An item is found where a run of a document's words is at most
-    SHARE times the item's words away from it in edits. Null texts and items, and items of fewer than LEAST_WORDS
-    words, are in no passage; a null doc_id is returned as it is. Equal items are found each. Rows that share a
+    SHARE times the item's words away from it in edits. Null texts and items, and items without a word,
+    are in no passage; a null doc_id is returned as it is. Equal items are found each. Rows that share a
     doc_id are searched each. Extra columns are ignored; an empty table on either side gives no rows.
     """
-    documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = common.small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = [_found(documents, block) for block in blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else documents.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("item_id", "start_word", "n_words", "edits"))).limit(0)
 
