@@ -127,12 +127,15 @@ class Scanner:
         self.near[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         size = len(self.vocabulary)
         self.follows = np.zeros((size + 1) * (size + 1), bool)
+        #: What a phrase or a template of fewer than MATCH words begins with: its first two words, or its only one.
         self.opens = np.zeros((size + 1) * (size + 1), bool)
+        self.alone = np.zeros(size + 1, bool)
         for k, x in enumerate(lists):
             at = np.array(x[:-1], np.int64) * (size + 1) + np.array(x[1:], np.int64)
             self.follows[at] = True
-            if k >= len(templates):
+            if k >= len(templates) or len(x) < MATCH:
                 self.opens[at[:1]] = True
+                self.alone[x[:1] if len(x) == 1 else []] = True
         #: By state: (words, label, whether the state is the phrase's own) of the base phrases that its longest run ends with.
         own = {}
         for x, label in zip(lists[len(templates) :], phrases.values(), strict=True):
@@ -160,11 +163,14 @@ class Scanner:
             on = self.follows[pairs]
             inner = bounds[1:-1]
             on[inner[(inner > 0) & (inner < len(ids))] - 1] = False
-            # only words that follow each other in a template can be a run of two or more
-            edges = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
-            first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            begun = np.concatenate([[0], np.cumsum(self.opens[pairs] & on)])
-            kept = (last - first + 1 >= MATCH) | (begun[last] > begun[first])
+            # runs of words that follow each other in a template, and known words by themselves
+            known = ids < len(self.vocabulary)
+            linked = np.concatenate([[False], on, [False]]) if len(ids) else np.zeros(1, bool)
+            first, last = np.flatnonzero(known & ~linked[:-1]), np.flatnonzero(known & ~linked[1:])
+            marks = self.alone[ids]
+            marks[:-1] |= self.opens[pairs] & on
+            begun = np.concatenate([[0], np.cumsum(marks)])
+            kept = (last - first + 1 >= MATCH) | (begun[last + 1] > begun[first])
             places, spans = defaultdict(list), defaultdict(list)
             row = np.searchsorted(bounds, first[kept], side="right") - 1
             for r, a, b in zip(row.tolist(), first[kept].tolist(), (last[kept] + 1).tolist(), strict=True):
@@ -185,13 +191,17 @@ class Scanner:
 
     def _chained(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Spans of templates: matches in the text's order, each extending the open chain of its template that it fits."""
-        chains: dict[int, list[list[int]]] = defaultdict(list)  # [first word, end in text, end in template, covered]
+        chains: dict[int, list[list[int]]] = defaultdict(list)  # open ones: [first word, end in text, end in template, covered]
+        closed: list[tuple[int, list[int]]] = []
         for first, length, state in sorted(matches):
             best: dict[int, tuple] = {}
             for number, end in self.automaton.ends[state]:
                 if number >= len(self.lengths) or length < min(MATCH, self.lengths[number]):
                     continue
                 begin = end - length + 1
+                if any(chain[1] + GAP < first for chain in chains[number]):  # what nothing can extend any more
+                    closed += [(number, chain) for chain in chains[number] if chain[1] + GAP < first]
+                    chains[number] = [chain for chain in chains[number] if chain[1] + GAP >= first]
                 for chain in chains[number]:
                     over = max(0, chain[1] - first, chain[2] - begin)
                     if chain[1] - GAP * 2 < first <= chain[1] + GAP and chain[2] - GAP < begin <= chain[2] + GAP and over < length:
@@ -203,7 +213,8 @@ class Scanner:
                     chains[number].append([first, first + length, end, covered])
                 else:
                     chain[1:] = [first + length, end, covered]
-        return [(self.labels[n], c[0], c[1] - 1, min(1.0, c[3] / self.lengths[n])) for n, some in chains.items() for c in some]
+        closed += [(n, chain) for n, some in chains.items() for chain in some]
+        return [(self.labels[n], c[0], c[1] - 1, min(1.0, c[3] / self.lengths[n])) for n, c in closed]
 
 
 def scan(df: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, text: str = "text") -> DataFrame:
