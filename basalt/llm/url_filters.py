@@ -33,8 +33,6 @@ ALLOW_NAMES = (
 
 #: A letter of a name that no known word holds costs as much as a word of this probability and a tenth of it for each letter more.
 UNKNOWN = 1e-7
-#: Longest name part that is searched for words; what is longer is split into parts of this length first.
-LONGEST = 256
 
 
 @dataclass
@@ -69,16 +67,16 @@ def split_words(name: str, model: Model) -> list[str]:
             if (word := model.costs.get(name[start:end])) is not None:
                 found = min(found, (best[start][0] + word, start, True))
         best.append(found)
-    parts: list[tuple[str, bool]] = []
+    parts: list[tuple[int, int, bool]] = []
     end = len(name)
     while end:
         _, start, known = best[end]
-        if parts and not known and not parts[-1][1]:
-            parts[-1] = (name[start:end] + parts[-1][0], False)
+        if parts and not known and not parts[-1][2]:
+            parts[-1] = (start, parts[-1][1], False)
         else:
-            parts.append((name[start:end], known))
+            parts.append((start, end, known))
         end = start
-    return [x for x, _ in reversed(parts)]
+    return [name[start:end] for start, end, _ in reversed(parts)]
 
 
 def tokens(host: str, path: str, model: Model) -> list[str]:
@@ -86,8 +84,7 @@ def tokens(host: str, path: str, model: Model) -> list[str]:
     labels = host.split(".")[:-1] if "." in host else [host]
     found = []
     for name in re.findall(r"[^\W\d_]+", ".".join(labels) + " " + path.lower()):
-        for at in range(0, len(name), LONGEST):
-            found += split_words(name[at : at + LONGEST], model)
+        found += split_words(name, model)
     return found
 
 
