@@ -21,7 +21,7 @@ def piece_model() -> bytes:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), ids=False, check=True).drop("text")
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), check=True).drop("text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
