@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import slices
+from basalt.llm.common import shared_folder, slices
 from basalt.llm.token_counts import gathered, piece_memory, sums
 
 BLOCK = 256
@@ -195,9 +195,6 @@ def token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str
     """write_token_files() to folder, by default a new one under spark.checkpoint.dir, and what read_token_files() gives."""
     spark = df.sparkSession
     if folder is None:
-        import tempfile
-
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="token_files")
-        folder = f"{shared}/token_files_{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/token_files_{uuid.uuid4().hex}"
     write_token_files(df, folder, tokenizer_path, end_id)
     return read_token_files(spark, folder)
