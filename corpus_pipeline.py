@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import decontamination, jaccard_join, line_dedup, quality_classifier, sentencepiece_codec
-from basalt.llm.common import settled, table, without
+from basalt.llm.common import settled, shared_folder, table, without
 from basalt.llm.queries import piece_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,12 +58,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what each returns is written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
+    """All stages on documents; what each returns is written as Parquet in the shared folder and read again.
 
-        shared = tempfile.mkdtemp(prefix="corpus_pipeline")
+    A row without a doc_id goes through all stages as a document of its own but for decontamination, which names what it
+    finds by doc_id. Repeated rows are judged each, and stay or go together. Columns beside the five of documents are left out.
+    """
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared}/corpus_pipeline_{uuid.uuid4().hex}_{k}"
