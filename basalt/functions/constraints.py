@@ -7,6 +7,7 @@ column is an absent property and passes.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
@@ -142,15 +143,49 @@ def acyclic(models: dict[str, list[str]]) -> None:
         visit(name, [])
 
 
-def one_of(matches: dict[str, Column], discriminator: Column | None = None, aliases: dict[str, str] | None = None) -> Column:
-    """The member of a union: by discriminator if one is given and known, else the only one that matches; null if none or several do."""
+def has(value: Column, name: str) -> Column:
+    """Whether a JSON object has a property; JSON null counts."""
+    return F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
+
+
+#: What schema_of_variant calls the kinds of JSON values.
+KINDS = {"string": "STRING", "number": r"(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def check_property(value: Column, name: str, kind: str | None = None, nullable: bool = False, c: Constraint = Constraint(), scale: int = 10) -> Column:  # noqa: B008
+    """Whether a property of a JSON object (a variant) is absent, is JSON null and may be, or is of the kind (a key of KINDS) and meets the constraint."""
+    inner = F.try_variant_get(value, f"$.{name}", "variant")
+    whole = F.try_variant_get(value, f"$.{name}", "array<variant>" if kind == "array" else "string")
+    fits = F.lit(True) if kind is None else F.schema_of_variant(inner).rlike(rf"^{KINDS[kind]}\b")
+    return F.when(inner.isNull(), True).when(F.is_variant_null(inner), F.lit(nullable)).otherwise(fits & check(whole, c, scale))
+
+
+def matches_member(value: Column, required: Sequence[str], known: Sequence[str] = (), properties: Sequence[Column] = ()) -> Column:
+    """Whether a JSON object has all required properties, or any known one where none is required, and its properties' checks hold."""
+    names = F.lit(True)
+    for name in required:
+        names = names & has(value, name)
+    if not required:
+        names = F.greatest(F.lit(False), *(has(value, name) for name in known)) if known else F.lit(False)
+    for ok in properties:
+        names = names & ok
+    return names
+
+
+def one_of(matches: dict[str, Column], discriminator: Column | None = None, aliases: dict[str, str] | None = None, strict: bool = True) -> Column:
+    """The member of a union: by the discriminator if one is given, else the only one that matches; null if none or several do.
+
+    A discriminator that is null or names no member is an error; with strict=False it gives null.
+    """
     n = sum((F.coalesce(m, F.lit(False)).cast("int") for m in matches.values()), F.lit(0))
     name = F.coalesce(*(F.when(F.coalesce(m, F.lit(False)), F.lit(k)) for k, m in matches.items()))
     structural = F.when(n == 1, name)
     if discriminator is None:
         return structural
     known = F.create_map(*(F.lit(x) for pair in (aliases or {k: k for k in matches}).items() for x in pair))
-    return F.when(discriminator.isNotNull(), known[discriminator]).otherwise(structural)
+    named = F.try_element_at(known, discriminator)
+    wrong = F.when(discriminator.isNull(), F.lit("no discriminator")).otherwise(F.concat(F.lit("no member for discriminator "), discriminator))
+    return F.when(named.isNotNull(), named).otherwise(F.raise_error(wrong)) if strict else named
 
 
 def any_of_best(scores: dict[str, Column]) -> Column:

@@ -59,7 +59,15 @@ def json_scalar(variant: Column, path: str) -> Column:
 
 
 def json_value(variant: Column, path: str, kind: str) -> Column:
-    """A value at a path as string, int, long, double, boolean, instant or bytes; null where missing, JSON null or not of the kind. A blank instant is missing."""
+    """A value at a path as string, int, long, double, boolean, instant, bytes, list, map or object; null where missing, JSON null or not of the kind.
+
+    A blank instant is missing. Elements of lists and values of maps are variants, and an object is a variant itself.
+    """
+    if kind in ("list", "map"):
+        return F.try_variant_get(variant, path, "array<variant>" if kind == "list" else "map<string,variant>")
+    if kind == "object":
+        inner = F.try_variant_get(variant, path, "variant")
+        return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
     text = F.try_variant_get(variant, path, "string")
     if kind == "instant":
         return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,11 +71,18 @@ def until_end(signals: DataFrame, by: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern for the whole text, and what to answer: a constant, else the text with its first match replaced, else NO_ANSWER."""
+    """What a text must be, and what to answer.
+
+    A text fits by a predicate (a function from the text's column to a boolean one) if there is one, else if the pattern
+    matches all of it. The answer is a function's of the text's column, else a constant, else the text with the
+    pattern's first match replaced, else NO_ANSWER.
+    """
 
     pattern: str = ".*"
     response: str | None = None
     template: str | None = None
+    predicate: Callable[[Column], Column] | None = None
+    responder: Callable[[Column], Column] | None = None
 
 
 NO_ANSWER = "no response"
@@ -85,8 +92,8 @@ def answered(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """messages with rule (its place, null if none matches) and answer of the first rule that matches."""
     rule, answer = F.lit(None).cast("int"), F.lit(None).cast("string")
     for k, r in reversed([*enumerate(rules)]):
-        fits = full_match(F.col("text"), r.pattern)
-        said = F.lit(r.response) if r.response is not None else replace_first(F.col("text"), r.pattern, r.template) if r.template is not None else F.lit(NO_ANSWER)
+        fits = full_match(F.col("text"), r.pattern) if r.predicate is None else F.coalesce(r.predicate(F.col("text")), F.lit(False))
+        said = r.responder(F.col("text")) if r.responder is not None else F.lit(r.response) if r.response is not None else replace_first(F.col("text"), r.pattern, r.template) if r.template is not None else F.lit(NO_ANSWER)
         rule, answer = F.when(fits, k).otherwise(rule), F.when(fits, said).otherwise(answer)
     return messages.withColumns({"rule": rule, "answer": answer})
 

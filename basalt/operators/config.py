@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,9 +25,29 @@ def enabled(components: DataFrame, flag: str = "enabled") -> DataFrame:
     return components.where(F.coalesce(F.col(flag), F.lit(True)))
 
 
-def default_component(components: DataFrame, name: str = "name", weight: str = "weight") -> DataFrame:
-    """The component with the highest weight, ties by name."""
-    return components.agg(F.max_by(name, F.struct(F.col(weight), F.col(name))).alias(name))
+def default_component(components: DataFrame, name: str = "name", weight: str = "weight", by: tuple[str, ...] = ()) -> DataFrame:
+    """The component with the highest weight, of each `by` where given; ties by name."""
+    return components.groupBy(*by).agg(F.max_by(name, F.struct(F.col(weight), F.col(name))).alias(name))
+
+
+def united(*lists: Column) -> Column:
+    """All elements of lists one after the other; a null list has none."""
+    return F.flatten(F.array_compact(F.array(*lists)))
+
+
+def reloaded(installed: tuple[str, ...] | None, current: tuple[str, ...], load: Callable[[], DataFrame], held: DataFrame | None = None) -> tuple[tuple[str, ...] | None, DataFrame | None]:
+    """The tokens and table to use from now on: what load() gives if the current tokens differ from the installed ones, else what is held; if loading fails, that too."""
+    if installed == current:
+        return installed, held
+    try:
+        fresh = load()
+        fresh.schema  # a path that isn't there shows here
+    except Exception as error:
+        if held is None:
+            raise
+        warnings.warn(f"the table with tokens {installed} stays: {error}", stacklevel=2)
+        return installed, held
+    return current, fresh
 
 
 def resolved(components: DataFrame, stores: DataFrame, models: DataFrame) -> DataFrame:

@@ -29,3 +29,8 @@ def single_row(found: DataFrame, name: str, wanted: str) -> DataFrame:
     """status UP and the row, if exactly one has the name; else DOWN with what is wrong. Always one row."""
     matched = found.where(F.col(name) == wanted).agg(F.count("*").alias("n"), F.first(F.struct(*found.columns)).alias("row"))
     return matched.select(F.when(F.col("n") == 1, "UP").otherwise("DOWN").alias("status"), F.when(F.col("n") != 1, F.concat(F.lit("rows: "), F.col("n"))).alias("message"), "row")
+
+
+def mapped(nodes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The nodes' properties under the names that a model has for them; a null property is left null, others are left out."""
+    return nodes.select(*(F.col(f"`{old}`").alias(new) for old, new in names.items()))

@@ -6,7 +6,7 @@ what the server sent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 STATUSES = ("UP", "STARTING", "DOWN", "OUT_OF_SERVICE", "UNKNOWN")
 
 PORT = "struct<`$`: int, `@enabled`: string>"
-PAYLOAD = f"applications struct<versions__delta: string, apps__hashcode: string, application: array<struct<name: string, instance: array<struct<instanceId: string, hostName: string, ipAddr: string, status: string, overriddenStatus: string, port: {PORT}, securePort: {PORT}, metadata: map<string, string>, actionType: string>>>>>"
+PAYLOAD = f"applications struct<versions__delta: string, apps__hashcode: string, application: array<struct<name: string, instance: array<struct<instanceId: string, hostName: string, ipAddr: string, status: string, overriddenStatus: string, port: {PORT}, securePort: {PORT}, metadata: map<string, variant>, actionType: string>>>>>"
 
 
 def status(text: Column) -> Column:
@@ -31,7 +31,8 @@ def rank(status_: Column) -> Column:
 def instances(payloads: DataFrame, text: str = "payload", prefer_address: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The instances of JSON payloads. Unnamed applications and instances without a host are left out; a port counts only if enabled, else -1.
 
-    Metadata without null values; the effective status, which an override replaces, is only added to it.
+    Metadata holds strings, numbers and booleans as text, without nulls, arrays and objects; the effective status, which
+    an override replaces, is only added to it.
     """
     parsed = payloads.select(*keep, F.from_json(text, PAYLOAD).alias("p"))
     apps = parsed.select(*keep, F.col("p.applications.apps__hashcode").alias("stamp"), F.posexplode("p.applications.application").alias("entry_seq", "a"))
@@ -39,7 +40,9 @@ def instances(payloads: DataFrame, text: str = "payload", prefer_address: bool =
     first, second = ("i.ipAddr", "i.hostName") if prefer_address else ("i.hostName", "i.ipAddr")
     port = lambda c: F.when(F.lower(F.col(f"{c}.`@enabled`")) == "true", F.coalesce(F.col(f"{c}.`$`"), F.lit(-1))).otherwise(-1)
     overridden = F.when(F.coalesce(F.col("i.overriddenStatus"), F.lit("UNKNOWN")) != "UNKNOWN", F.col("i.overriddenStatus")).otherwise(F.col("i.status"))
-    metadata = F.map_filter(F.coalesce("i.metadata", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    scalar = lambda v: v.isNotNull() & ~F.is_variant_null(v) & ~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)")
+    texts = F.transform_values(F.map_filter("i.metadata", lambda k, v: scalar(v)), lambda k, v: v.cast("string"))
+    metadata = F.coalesce(texts, F.create_map().cast("map<string,string>"))
     return each.select(
         *keep, "stamp", "entry_seq", "arrival_seq", "app", F.coalesce("i.instanceId", first).alias("id"), F.coalesce(first, second).alias("host"), port("i.securePort").alias("secure_port"), port("i.port").alias("port"),
         status(F.col("i.status")).alias("status"), F.map_zip_with(metadata, F.create_map(F.lit("status"), status(overridden)), lambda k, a, b: F.coalesce(b, a)).alias("metadata"), F.upper("i.actionType").alias("action"),
@@ -120,10 +123,43 @@ def apply_deltas(changes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(folded, "app string, id string, status string, place int")
 
 
-def deduplicated(deltas: DataFrame, stamp: str = "stamp", order: str = "delta") -> DataFrame:
-    """Deltas (a row each) whose stamp differs from the one before."""
-    window = Window.orderBy(order)
-    return deltas.withColumn("before_", F.lag(stamp).over(window)).where(~F.col(stamp).eqNullSafe(F.col("before_"))).drop("before_")
+def deduplicated(deltas: DataFrame, stamp: str = "stamp", order: str = "delta", by: Sequence[str] = ()) -> DataFrame:
+    """Deltas (a row each) whose stamp differs from the one before, of the same server where `by` names it. The first stays unless its stamp is null.
+
+    Without `by` the deltas are dealt to sorted ranges, of which only the last stamp (a row for each range) meets the next.
+    """
+    fresh = lambda before: ~F.col(stamp).eqNullSafe(before)
+    if by:
+        return deltas.withColumn("before_", F.lag(stamp).over(Window.partitionBy(*by).orderBy(order))).where(fresh(F.col("before_"))).drop("before_")
+    ranged = deltas.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id())
+    inner = Window.partitionBy("part_").orderBy(order)
+    placed = ranged.withColumn("before_", F.lag(stamp).over(inner)).withColumn("k_", F.row_number().over(inner))
+    last = ranged.groupBy("part_").agg(F.max_by(F.struct(stamp), order).alias("last_"))
+    ends = last.select("part_", F.lag(F.col("last_")[stamp]).over(Window.orderBy("part_")).alias("end_"))
+    whole = placed.join(F.broadcast(ends), "part_")
+    return whole.where(fresh(F.when(F.col("k_") == 1, F.col("end_")).otherwise(F.col("before_")))).select(*deltas.columns)
+
+
+class Poller:
+    """What a registry's client asks for next: everything at first, changes from then on, and everything again after changes were refused.
+
+    fetch_all() gives the instances, fetch_changes() a table of changes or None if the server refuses them.
+    """
+
+    def __init__(self, fetch_all: Callable[[], DataFrame], fetch_changes: Callable[[], DataFrame | None], changes: bool = True):
+        self.fetch_all, self.fetch_changes, self.changes, self.full_next = fetch_all, fetch_changes, changes, True
+
+    def step(self) -> tuple[str, DataFrame | None]:
+        """("snapshot", instances), ("delta", changes) or ("refused", None); the caller applies it and waits for the next turn."""
+        if self.full_next:
+            found = self.fetch_all()
+            self.full_next = not self.changes
+            return "snapshot", found
+        found = self.fetch_changes()
+        if found is None:
+            self.full_next = True
+            return "refused", None
+        return "delta", found
 
 
 def replace_snapshot(spark: SparkSession, fresh: DataFrame, path: str, stamp: str) -> bool:

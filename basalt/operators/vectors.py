@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -99,3 +99,13 @@ def reranked(hits: DataFrame, score: Column, k: int, by: str, key: str) -> DataF
     """The k best hits of each `by` under another score."""
     window = Window.partitionBy(by).orderBy(F.desc("rerank_score"), key)
     return hits.withColumn("rerank_score", score).withColumn("rerank", F.row_number().over(window)).where(F.col("rerank") <= k)
+
+
+VECTORS = "id string, embedding array<float>, text string, metadata string"
+
+
+def from_json(spark: SparkSession, path: str | None = None, schema: str = VECTORS) -> DataFrame:
+    """The vectors of a JSON file or folder, a document a vector or a list of them; an empty store without a path."""
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

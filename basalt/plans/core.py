@@ -267,6 +267,24 @@ def union_anyof_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", C.any_of_best(scores).alias("member"))
 
 
+@query("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 'counted' WHEN 'view' THEN 'even' END AS by_kind, CASE WHEN counted AND NOT even THEN 'counted' WHEN even AND NOT counted THEN 'even' END AS by_shape
+FROM (SELECT event_id, event_type, k % 7 <> 0 AND k <= 90 AS counted, k % 2 = 0 AND k % 3 <> 0 AS even FROM (SELECT *, (props->>'$.k')::INT AS k FROM events))
+""")
+def union_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a union told by their properties: required and known ones, types, JSON nulls and constraints; and by a discriminator."""
+    df = _events(spark, sf_dir, "event_id", "event_type", "props").withColumn("k", T.json_value(F.parse_json("props"), "$.k", "int"))
+    count = F.when(F.col("k") % 7 == 0, "null").otherwise(F.col("k").cast("string"))
+    extra = F.when(F.col("k") % 2 == 0, F.concat(F.lit(',"even":'), F.when(F.col("k") % 3 == 0, "1").otherwise("null"))).otherwise("")
+    value = F.parse_json(F.concat(F.lit('{"k":'), count, extra, F.lit("}")))
+    members = {
+        "counted": C.matches_member(value, ["k"], properties=[C.check_property(value, "k", "number", c=C.Constraint(maximum=Decimal(90)))]),
+        "even": C.matches_member(value, [], ["even"], [C.check_property(value, "even", "string", nullable=True)]),
+    }
+    by_kind = C.one_of(members, F.col("event_type"), {"click": "counted", "view": "even"}, strict=False)
+    return df.select("event_id", by_kind.alias("by_kind"), C.one_of(members).alias("by_shape"))
+
+
 # --- registry ---
 
 
@@ -302,11 +320,55 @@ def registry_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.ordered(_instances(spark, sf_dir)).select("app", F.col("arrival_seq").alias("event_id"), "status", "place")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (
+  SELECT *, row_number() OVER (PARTITION BY app ORDER BY delta, phase, seq) AS k FROM (
+    SELECT 'APP' || user_id AS app, datediff('day', DATE '2024-01-01', ts::DATE) AS delta, event_id AS seq, 'host' || (floor(value)::INT % 7) AS id, event_id % 5 AS r,
+           CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 2 END AS phase FROM events) WHERE phase IS NOT NULL),
+s AS (
+  SELECT app, 0::BIGINT AS k, []::STRUCT(id VARCHAR, r BIGINT, k BIGINT)[] AS held FROM (SELECT DISTINCT app FROM o)
+  UNION ALL
+  SELECT s.app, o.k, CASE WHEN phase = 0 THEN list_filter(held, lambda x: x.id <> o.id) WHEN phase = 1 AND len(held) = 0 THEN held
+                          ELSE list_append(list_filter(held, lambda x: x.id <> o.id), {'id': o.id, 'r': o.r, 'k': o.k}) END
+  FROM s JOIN o ON o.app = s.app AND o.k = s.k + 1)
+SELECT app, h.id AS id, ['UP', 'STARTING', 'DOWN', 'OUT_OF_SERVICE', 'UNKNOWN'][h.r + 1] AS status, row_number() OVER (PARTITION BY app ORDER BY h.r, h.k)::INT AS place
+FROM (SELECT app, unnest(held) AS h FROM (SELECT app, held, row_number() OVER (PARTITION BY app ORDER BY k DESC) AS n FROM s) WHERE n = 1)
+""")
 def registry_delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.apply_deltas(_changes(spark, sf_dir))
 
 
+@query("""
+SELECT app, id, CASE r WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' ELSE 'UNKNOWN' END AS status, host, CASE WHEN r = 2 THEN -1 ELSE n END AS port, 443 + r::INT AS secure_port,
+       k AS meta_number, 'true' AS meta_flag, NULL::VARCHAR AS meta_other, CASE WHEN r = 0 THEN 'OUT_OF_SERVICE' WHEN r = 1 THEN 'DOWN' ELSE 'UNKNOWN' END AS meta_status
+FROM (SELECT n_name AS app, 's' || s_suppkey AS id, s_name AS host, s_suppkey % 3 AS r, n_nationkey AS n, s_suppkey::VARCHAR AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+""")
+def registry_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry's JSON answers, one for each nation, with its suppliers as instances."""
+    on = F.pmod("s_suppkey", F.lit(3))
+    port = lambda n, open_: F.concat(F.lit('{"$":'), n.cast("string"), F.lit(',"@enabled":"'), open_, F.lit('"}'))
+    one = F.concat(
+        F.lit('{"instanceId":"s'), "s_suppkey", F.lit('","hostName":"'), "s_name", F.lit('","status":"'), F.when(on == 0, "up").when(on == 1, "DOWN").otherwise("ODD"),
+        F.lit('","overriddenStatus":"'), F.when(on == 0, "OUT_OF_SERVICE").otherwise("UNKNOWN"), F.lit('","port":'), port(F.col("n_nationkey"), F.when(on == 2, "false").otherwise("TRUE")),
+        F.lit(',"securePort":'), port(on + 443, F.lit("true")), F.lit(',"metadata":{"number":'), "s_suppkey", F.lit(',"flag":true,"none":null,"list":[1,2],"object":{"q":1}}}'),
+    )
+    suppliers = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").join(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    apps = suppliers.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("all"))
+    payload = F.concat(F.lit('{"applications":{"apps__hashcode":"UP_1_","application":[{"name":"'), "n_name", F.lit('","instance":['), "all", F.lit("]}]}}"))
+    found = registry.instances(apps.select(payload.alias("payload")))
+    meta = lambda k: F.col("metadata")[k]
+    other = F.coalesce(meta("none"), meta("list"), meta("object"))
+    return found.select("app", "id", "status", "host", "port", "secure_port", meta("number").alias("meta_number"), meta("flag").alias("meta_flag"), other.alias("meta_other"), meta("status").alias("meta_status"))
+
+
+@query("""
+SELECT delta, stamp FROM (SELECT *, lag(stamp) OVER (ORDER BY delta) AS before FROM (SELECT event_id AS delta, 'UP_' || (event_id // 7 * 13 % 5) || '_' AS stamp FROM events)) WHERE before IS NULL OR stamp <> before
+""")
+def registry_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.concat(F.lit("UP_"), F.pmod(F.floor(F.col("event_id") / 7) * 13, F.lit(5)), F.lit("_"))
+    return registry.deduplicated(_events(spark, sf_dir, "event_id").select(F.col("event_id").alias("delta"), stamp.alias("stamp")))
+
+
 @query(CHANGES + """ SELECT app, seq AS event_id, unnest(range(len(u)))::INT AS n, unnest(u) AS uri FROM (
  SELECT app, seq, list_concat(CASE open WHEN 0 THEN ['https://' || id, 'http://' || id] WHEN 1 THEN ['https://' || id || ':8443'] ELSE ['http://' || id || ':8080'] END, ['http://fallback']) AS u FROM c)""")
 def instance_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +451,15 @@ def kv_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- JSON, durations, configuration, TOML ---
 
 
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::INT AS k_int, (props->>'$.k')::DOUBLE AS k_double, 1::BIGINT AS n_map, 2::BIGINT AS n_list, NULL::VARCHAR AS no_list FROM events")
+def json_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _events(spark, sf_dir, "event_id", "props")
+    v, two = F.parse_json("props"), F.parse_json(F.concat(F.lit('{"a":['), "props", F.lit(",1]}")))
+    inner = T.json_value(two, "$.a", "list")
+    kinds = [T.json_value(v, "$.k", k).alias(n) for k, n in (("long", "k"), ("int", "k_int"), ("double", "k_double"))]
+    return df.select("event_id", *kinds, F.size(T.json_value(v, "$", "map")).cast("long").alias("n_map"), F.size(inner).cast("long").alias("n_list"), T.json_value(v, "$.k", "list").cast("string").alias("no_list"))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.k' AS k_text, NULL::VARCHAR AS missing FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.parse_json("props")
@@ -433,7 +504,7 @@ def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment, max_by(c_name, (c_acctbal, c_name)) AS name FROM customer WHERE c_custkey % 4 <> 0 GROUP BY c_mktsegment")
 def config_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").withColumn("enabled", F.when(F.pmod("c_custkey", F.lit(4)) == 0, False))
-    return config.enabled(df).groupBy("c_mktsegment").agg(F.max_by("c_name", F.struct("c_acctbal", "c_name")).alias("name"))
+    return config.default_component(config.enabled(df), "c_name", "c_acctbal", ("c_mktsegment",)).select("c_mktsegment", F.col("c_name").alias("name"))
 
 
 def _documents(df: DataFrame) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql.types import StructType
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str, charset: str = "UTF-8", lenient: bool = False, many: bool = False) -> DataFrame:
     """Documents of a known schema; many: whole files, each an object or a list of them. A wrong document is an error."""
+    reader = spark.read if many or charset.upper() == "UTF-8" else spark.read.option("lineSep", "\n")  # Spark finds line ends by itself in UTF-8 only
     return (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("encoding", charset)
         .option("multiLine", many)
         .option("mode", "FAILFAST")
@@ -22,6 +23,18 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, charset:
     )
 
 
+def write_json(df: DataFrame, path: str, charset: str = "UTF-8", nulls: bool = False) -> None:
+    """A JSON document a row, in the charset that was agreed on."""
+    df.write.option("encoding", charset).option("ignoreNullFields", not nulls).option("lineSep", "\n").json(path)
+
+
+def render_entries(entries: Column) -> Column:
+    """The JSON text of a map whose keys are no plain names: a list of [key, value] pairs."""
+    text = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(F.lit("["), text(e["key"]), F.lit(","), text(e["value"]), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))
+
+
 #: What a writer escapes inside strings so that a page may hold the text.
 HTML = (("<", r"\\u003c"), (">", r"\\u003e"), ("&", r"\\u0026"), ("=", r"\\u003d"), ("'", r"\\u0027"))
 

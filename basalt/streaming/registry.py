@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basalt.operators.registry import PHASES, Instances
 
 
+#: Seconds between two polls of a registry.
+POLL_SECONDS = 30
+
+
+def polled(found: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: float = POLL_SECONDS) -> StreamingQuery:
+    """Hands the stream's batches to handle() every so many seconds."""
+    return found.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=f"{every} seconds").foreachBatch(handle).start()
+
+
 def apply_stream(changes: DataFrame) -> DataFrame:
     """(app, id, status, place, n) of each application that a batch of changes (app, delta, seq, action, id, status) touched.
 
