@@ -63,6 +63,55 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_url_filters, op5_decontamination, op6_binary_output, op7_license_scan, op8_quality_classifier, op9_line_dedup, op10_jaccard_join)}
-
-ORACLES: dict[str, str] = {}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: its base counts and rules."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the bytes."""
+    return op3_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: host, path, rule, and its verdict."""
+    return op4_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: words and the base phrases' places."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+NUMBERED = (op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_url_filters, op5_decontamination, op6_binary_output, op7_license_scan, op8_quality_classifier, op9_line_dedup, op10_jaccard_join)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*NUMBERED, quality_base, token_bytes, url_rules, license_phrases)}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "quality_base": r"""
+WITH w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(5)) AS o) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM (
+  SELECT w.doc_id, len(ws) AS n_words, length(list_aggregate(list_concat([''], ws), 'string_agg', ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id)
+""",
+    "token_bytes": "SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes FROM documents",
+    "url_rules": f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(name, start, verdict))
+SELECT p.page_id, any_value(host) AS host, any_value(path) AS path, max_by(name || start, length(name || start)) AS rule, max_by(verdict, length(name || start)) AS rule_verdict
+FROM p LEFT JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY p.page_id
+""",
+    "license_phrases": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+f AS (SELECT * FROM (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) AS f(phrase, label)),
+h AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN f ON ws[i] = phrase[1] AND list_slice(ws, i, i + len(phrase) - 1) = phrase)
+SELECT w.doc_id, any_value(len(ws)) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN h ON h.doc_id = w.doc_id GROUP BY w.doc_id
+""",
+}
