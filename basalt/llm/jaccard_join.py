@@ -38,6 +38,9 @@ FILTER_BITS = 27
 COUNTED_TOKENS = 2_000_000
 #: Prefix shingles that one task of the sharing test holds.
 TASK_TOKENS = 2_000_000
+#: Bits of a shingle's hash that the sharing test compares beyond the logarithm of how many there are: about one shingle
+#: in 2**SPARE_BITS is taken for another, which only lets its rows through.
+SPARE_BITS = 10
 
 
 def sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,8 +112,11 @@ def frequent_shingles(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], levels[order]
 
 
-def prefixes(documents: DataFrame, frequent: np.ndarray, weights: np.ndarray, width: int) -> DataFrame:
-    """Per document with an id and words: node, doc (its id), n and the first n - ceil(s * n) + 1 shingles, rarest first."""
+def prefixes(documents: DataFrame, digest: DataFrame, frequent: np.ndarray, weights: np.ndarray, width: int) -> DataFrame:
+    """Per node of documents with an id and words: node, doc (one's id), n and the first n - ceil(s * n) + 1 shingles, rarest first.
+
+    Only nodes that several documents have are shuffled to be rid of repeats.
+    """
     near = np.zeros(1 << 22, bool)
     near[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
@@ -136,7 +142,10 @@ def prefixes(documents: DataFrame, frequent: np.ndarray, weights: np.ndarray, wi
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(tokens[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[take]), ids.slice(a, b - a).take(pa.array(take)), pa.array(n[take], pa.int32()), lists], names=["node", "doc", "n", "prefix"])
 
-    return documents.mapInArrow(made, "node long, doc long, n int, prefix array<long>").dropDuplicates(["node"])
+    copied = common.stored(digest.where("node is not null").groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node"))
+    rows = common.stored(common.marked(documents.mapInArrow(made, "node long, doc long, n int, prefix array<long>"), copied, "node"))
+    once = common.stored(rows.where("may_join_").drop("may_join_").dropDuplicates(["node"]))
+    return rows.where("not may_join_").drop("may_join_").unionByName(once)
 
 
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -150,22 +159,29 @@ def shared_filter(nodes: DataFrame, total: int) -> np.ndarray:
     """A bitmap over the highest FILTER_BITS bits of shingles' mixed hashes (prefixes hold the smallest unmixed ones): set where a shingle is in the prefixes of two nodes or more.
 
     Each batch sends a shingle at most twice, so no shingle is large; each task tests a range of shingles and makes
-    its stretch of the bitmap, whose whole size is fixed.
+    its stretch of the bitmap, whose whole size is fixed. Hashes are sent as their highest bytes, a plane for each byte,
+    since sorted ones share the first.
     """
+    sent = min(8, max(-(-FILTER_BITS // 8), -(-(total.bit_length() + SPARE_BITS) // 8)))
     buckets = 1 << max(6, min(FILTER_BITS - 3, (max(1, total // TASK_TOKENS) - 1).bit_length()))
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     span = (1 << FILTER_BITS) // buckets
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, counts = np.unique(common.mix(flat(batch)[0]), return_counts=True)
+            tokens, counts = np.unique(common.mix(flat(batch)[0]) >> np.uint64(64 - 8 * sent) << np.uint64(64 - 8 * sent), return_counts=True)
             tokens = np.repeat(tokens, np.minimum(counts, 2))
+            planes = tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :sent]
             cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([tokens[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([planes[cuts[k] : cuts[k + 1]].T.tobytes() for k in some], pa.binary())], names=["bucket", "tokens"])
 
     def tested(group: pa.Table) -> pa.Table:
-        tokens = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in group["tokens"].to_pylist()]))
+        whole = np.concatenate([np.frombuffer(x, np.uint8).reshape(sent, -1) for x in group["tokens"].to_pylist()], axis=1)
+        tokens = np.zeros(whole.shape[1], np.uint64)
+        for k in range(sent):
+            tokens |= whole[k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        tokens.sort()
         twice = tokens[1:][tokens[1:] == tokens[:-1]]
         bucket = group["bucket"][0].as_py()
         bits = np.zeros(span, bool)
@@ -179,8 +195,8 @@ def shared_filter(nodes: DataFrame, total: int) -> np.ndarray:
     return whole
 
 
-def live_rows(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(token, node, spot) of all prefix shingles that the filter lets through; spot: the shingle's place in the node's order in the high half, the node's shingles in the low one."""
+def live_prefixes(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(node, n, tokens, spots) with the prefix shingles that the filter lets through, of nodes that have any; spots: the shingle's place in the node's order in the high half, the node's shingles in the low one."""
     sent = nodes.sparkSession.sparkContext.broadcast(bitmap)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +206,13 @@ def live_rows(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
             spot = (np.arange(len(row)) - np.searchsorted(row, row) << 32) + np.asarray(batch.column("n"), np.int64)[row]
             at = (common.mix(tokens) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             on = (whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[on].view(np.int64)), batch.column("node").take(pa.array(row[on])), pa.array(spot[on])], names=["token", "node", "spot"])
+            counts = np.bincount(row[on], minlength=batch.num_rows)
+            some = pa.array(np.flatnonzero(counts))
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts[counts > 0])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[on])) for x in (tokens.view(np.int64), spot)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(some), batch.column("n").take(some), *lists], names=["node", "n", "tokens", "spots"])
 
-    return nodes.select("node", "n", "prefix").mapInArrow(made, "token long, node long, spot long")
+    return nodes.select("node", "n", "prefix").mapInArrow(made, "node long, n int, tokens array<long>, spots array<long>")
 
 
 def n_of(spot: str) -> Column:
@@ -220,10 +240,10 @@ def room(n: Column, rest: Column, low: Column, other: Column) -> Column:
     return (rest >= least) & (other >= least)
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough: the overlap is at most what they share and what lies behind either."""
+def plausible(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough: the overlap is at most what they share and what lies behind either. What two prefixes share is among the shingles of live_prefixes."""
     pairs = common.settled(pairs)
-    both = common.joinable(nodes.select("node", "n", "prefix"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    both = common.joinable(live.select("node", "n", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     joined = pairs.join(both.toDF("a", "n", "x"), "a").join(both.toDF("b", "bn", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.where(shared + F.greatest(behind(F.col("n")), behind(F.col("bn"))) >= needed(F.col("n"), F.col("bn"))).select("a", "b")
@@ -243,9 +263,9 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([zlib.decompress(x).decode() for x in column.to_pylist()], pa.string())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, live: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose documents' sets link, by their exact overlap."""
-    pairs = plausible(pairs, nodes)
+    pairs = plausible(pairs, live)
     at = nodes.select("node", "doc")
     joined = pairs.join(at.toDF("a", "doc_a"), "a").join(at.toDF("b", "doc_b"), "b")
     joined = common.settled(joined)
@@ -288,9 +308,10 @@ def jaccard_components(df: DataFrame, width: int = WIDTH) -> DataFrame:
     facts = common.stored(digests(documents, width))
     digest = facts.where("n is not null").select("doc_id", "node", "n")
     frequent, weights = frequent_shingles(facts)
-    nodes = common.stored(prefixes(documents, frequent, weights, width))
+    nodes = prefixes(documents, digest, frequent, weights, width)
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    rows = live_rows(nodes, shared_filter(nodes, total))
+    live = common.stored(live_prefixes(nodes, shared_filter(nodes, total)))
+    rows = live.select("node", F.explode(F.arrays_zip("tokens", "spots")).alias("x")).select(F.col("x.tokens").alias("token"), "node", F.col("x.spots").alias("spot"))
     first = F.min(F.struct("spot", "node")).alias("l")
     shared = rows.groupBy("token").agg(first, F.count("*").alias("k"), F.min(n_of("spot")).alias("low"), F.max(rest_of("spot")).alias("most")).where("k > 1")
     met = rows.join(shared, "token").where(room(n_of("spot"), rest_of("spot"), F.col("low"), F.col("most")))
@@ -301,7 +322,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH) -> DataFrame:
     fits &= room(n_of("spot"), rest_of("spot"), n_of("bspot"), rest_of("bspot")) & room(n_of("bspot"), rest_of("bspot"), n_of("spot"), rest_of("spot"))
     star = rows.where("node <> b").where(fits).groupBy("node", "b").agg(F.count("*").alias("c"))
     star = star.groupBy("node").agg(F.max(F.struct("c", "b")).alias("l")).select(F.col("node").alias("a"), F.col("l.b").alias("b"))
-    links = common.settled(verified(star, nodes, documents, width))
+    links = common.settled(verified(star, nodes, live, documents, width))
     groups = common.components(links).toDF("node", "g")
 
     # the token-group matrix, and nodes against foreign groups
@@ -316,7 +337,7 @@ def jaccard_components(df: DataFrame, width: int = WIDTH) -> DataFrame:
     opened = bound.where(low <= high).select("node", "h")
     inside = grouped.select("token", F.col("node").alias("b"), F.col("spot").alias("bspot"), F.col("g").alias("h"))
     across = grouped.select("token", "node", "spot").join(opened, "node").join(inside, ["token", "h"]).where(fits).select(F.col("node").alias("a"), "b").distinct()
-    more = common.settled(verified(across, nodes, documents, width))
+    more = common.settled(verified(across, nodes, live, documents, width))
 
     roots = common.components(links.unionByName(more)).toDF("node", "root")
     placed = digest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
